@@ -25,11 +25,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 MAX_SHARE = 0.2
 SMOOTHING = 4.0
 
-_CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
-_WORD = rf"[{_CJK}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_CJK}]]{{1,32}}|[，、,;:；：\[\]]"
+_CJK = "\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORD = rf"[{_CJK}]|[0-9A-Za-z가-힣[\p{{L}}\p{{M}}\p{{N}}&&[^{_CJK}]]]{{1,32}}|[，、,;:；：\[\]]"
 _STRAY = r"(?:\.{2,}|[^\p{L}\p{M}\p{N}.!?。！？，、,;:；：\]])+$"
 _BREAK = r"[.!?]+(?=\s|$)|[。！？]+|[\r\n]+"
 
@@ -47,43 +49,43 @@ def records(segments: DataFrame, report: DataFrame) -> DataFrame:
     ))
 
 
-def _split(texts: DataFrame) -> DataFrame:
-    """Adds ``finished`` and ``sents`` (an array of words for each sentence) and drops ``text``."""
-    body = F.regexp_replace(F.regexp_replace("text", "[0-9]+", "0"), _STRAY, "")
-    marked = F.regexp_replace("body", _BREAK, "¶")
-    marked = F.regexp_replace(F.regexp_replace(marked, r"\[", "¶["), r"\]", "]¶")
-    words = F.transform(F.split(marked, "¶"), lambda s: F.regexp_extract_all(s, F.lit(_WORD), F.lit(0)))
-    return (
-        texts.withColumn("body", body)
-        .withColumn("finished", F.col("body").rlike(r"[.!?。！？\]]$"))
-        .withColumn("sents", F.filter(words, lambda w: F.size(w) > 0))
-        .drop("text", "body")
-    )
+def _marked(text: str = "text"):
+    """The text without stray symbols at its end, digits folded, sentences parted by ¶."""
+    body = F.regexp_replace(F.regexp_replace(text, "[0-9]+", "0"), _STRAY, "")
+    marked = F.regexp_replace(body, _BREAK, "¶")
+    return F.regexp_replace(F.regexp_replace(marked, r"\[", "¶["), r"\]", "]¶")
+
+
+def _padded(sentence):
+    return F.concat(F.array(F.lit("^"), F.lit("^")), F.regexp_extract_all(sentence, F.lit(_WORD), F.lit(0)))
 
 
 def last_trigrams(rows: DataFrame) -> DataFrame:
-    """Rows with a last word but no terminator behind it, with the last trigram (a, b, c)."""
-    last = F.try_element_at("sents", F.lit(-1))
+    """Rows whose text doesn't end in a terminator, with the last trigram (a, b, c) in place of the text."""
+    sentence = F.substring_index("marked", "¶", -1)
+    keep = [c for c in rows.columns if c != "text"]
     return (
-        _split(rows.where(F.col("text").rlike(r"\p{L}")))
-        .where(~F.col("finished") & (F.size("sents") > 0) & F.exists(last, lambda w: w.rlike(r"\p{L}")))
-        .withColumn("w", F.concat(F.array(F.lit("^"), F.lit("^")), last))
-        .withColumns({n: F.try_element_at("w", F.lit(i)) for n, i in (("a", -3), ("b", -2), ("c", -1))})
-        .drop("w", "sents", "finished")
+        rows.where(F.col("text").rlike(r"\p{L}")).select(*keep, _marked().alias("marked"))
+        .where(~F.col("marked").endswith("¶") & sentence.rlike(r"\p{L}"))
+        # The array function with the lambda variable evaluates the words once.
+        .select(*keep, F.element_at(F.transform(F.array(sentence), lambda s: F.transform(
+            F.array(_padded(s)), lambda w: F.struct(
+                F.get(w, F.size(w) - 3).alias("a"), F.get(w, F.size(w) - 2).alias("b"), F.get(w, F.size(w) - 1).alias("c")))[0]), 1).alias("t"))
+        .select(*keep, "t.a", "t.b", "t.c")
     )
 
 
 def trigram_counts(texts: DataFrame) -> DataFrame:
     """(a, b, c, inside, ends) over all sentences of (text)."""
-    def grams(s):
-        w = F.concat(F.array(F.lit("^"), F.lit("^")), s)
-        return F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: F.struct(
-            F.get(w, i - 1).alias("a"), F.get(w, i).alias("b"), F.get(w, i + 1).alias("c"),
-            (i == F.size(s)).cast("int").alias("end")))
+    def grams(w):
+        return F.transform(F.sequence(F.lit(2), F.size(w) - 1), lambda i: F.struct(
+            F.get(w, i - 2).alias("a"), F.get(w, i - 1).alias("b"), F.get(w, i).alias("c"),
+            (i == F.size(w) - 1).cast("int").alias("end")))
 
+    sentences = F.filter(F.transform(F.split(_marked(), "¶"), _padded), lambda w: F.size(w) > 2)
     return (
-        _split(texts.where(F.col("text").rlike(r"\p{L}")))
-        .select(F.explode(F.flatten(F.transform("sents", grams))).alias("g"))
+        texts.where(F.col("text").rlike(r"\p{L}"))
+        .select(F.explode(F.flatten(F.transform(sentences, grams))).alias("g"))
         .groupBy("g.a", "g.b", "g.c")
         .agg(F.sum(1 - F.col("g.end")).alias("inside"), F.sum("g.end").alias("ends"))
     )
@@ -119,8 +121,9 @@ def end_shares(grams: DataFrame, lasts: DataFrame, smoothing: float = SMOOTHING)
 def truncated(rows: DataFrame, max_share: float = MAX_SHARE, smoothing: float = SMOOTHING) -> DataFrame:
     """The rows (rec_table, rec_key, source, text) whose text lost its end, without the text."""
     texts = rows.where(F.col("text").rlike(r"\p{L}")).select("text").distinct()
-    grams = trigram_counts(texts)
-    lasts = last_trigrams(rows)
+    # Both are used several times and far smaller than the texts.
+    grams = cut_lineage(trigram_counts(texts))
+    lasts = cut_lineage(last_trigrams(rows))
     cut = end_shares(grams, lasts, smoothing).where(F.col("share") <= max_share)
     return lasts.join(cut, ["a", "b", "c"]).select("rec_table", "rec_key", "source").distinct()
 
