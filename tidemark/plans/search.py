@@ -6,7 +6,7 @@ from tidemark.plans.dialect import Dialect, minmax, paired, ranked, register, sc
 
 
 def top(D: Dialect, score: str, k: int = 10) -> str:
-    return (f"SELECT query_id, idx, round(v, 6) AS score, r AS rank FROM (SELECT query_id, idx, v, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, idx) AS r "
+    return (f"SELECT query_id, idx, round(v, 5) AS score, r AS rank FROM (SELECT query_id, idx, v, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, idx) AS r "
             f"FROM (SELECT query_id, idx, round({score}, 8) AS v FROM src) a) b WHERE r <= {k}")
 
 

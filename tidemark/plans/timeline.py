@@ -44,7 +44,7 @@ B = {
     "j11_uncited_segments": lambda D: f"WITH {rep(D)}, {seg(D)}, c AS (SELECT DISTINCT video_id, x FROM {D.each('rep', 'cites', 'x')}) SELECT s.video_id, s.idx FROM seg s LEFT JOIN c ON c.video_id = s.video_id AND c.x = s.idx WHERE c.x IS NULL",
     "j12_point_in_interval": lambda D: f"WITH {overlaps(D)}, {qry(D)}, p AS (SELECT DISTINCT query_id, video_id, (gt_start + gt_end) / 2e0 AS mid FROM qry WHERE gt_end > gt_start), b AS (SELECT query_id, video_id, mid, CAST(floor(mid / 5e0) AS INT) AS w FROM p WHERE mid >= 0) "
                                        "SELECT DISTINCT b.query_id, o.event_no FROM b JOIN ov o ON o.video_id = b.video_id AND o.w = b.w WHERE o.s <= b.mid AND b.mid < o.e",
-    "j18_type_fanout": lambda D: f"WITH {qry(D)}, x AS (SELECT query_id, video_id, query_type, i FROM {D.each('qry', 'gt', 'i')}) SELECT query_type, count(*) AS n, count(DISTINCT concat(video_id, '#', CAST(i AS STRING))) AS segments FROM x GROUP BY query_type",
+    "j18_type_fanout": lambda D: f"WITH {qry(D)}, x AS (SELECT query_id, video_id, query_type, i FROM {D.each('qry', 'gt', 'i')}) SELECT query_type, count(*) AS n, count(DISTINCT video_id || '#' || CAST(i AS STRING)) AS segments FROM x GROUP BY query_type",
     "j19_unambiguous_segments": lambda D: f"WITH {qry(D)}, x AS (SELECT query_id, video_id, i FROM {D.each('qry', 'gt', 'i')}) SELECT video_id, i AS idx, min(query_id) AS query_id FROM x GROUP BY video_id, i HAVING count(DISTINCT query_id) = 1",
     "f7_validate_events": lambda D: f"WITH {inv(D)}, {vids(D)} SELECT i.video_id, i.event_no, CASE WHEN i.event IS NULL OR trim(i.event) = '' THEN 'empty_event' WHEN i.seg_idx IS NULL OR {D.size('i.seg_idx')} = 0 THEN 'no_segments' WHEN i.span IS NULL OR {D.at('i.span', 0)} > {D.at('i.span', 1)} THEN 'bad_span' "
                                     f"WHEN {D.high('i.seg_idx')} >= v.n_seg THEN 'seg_out_of_range' WHEN {D.size('i.seg_idx')} > 4 THEN 'too_many_evidence' WHEN {D.size(D.uniq('i.seg_idx'))} < {D.size('i.seg_idx')} THEN 'duplicate_evidence' "
