@@ -119,7 +119,7 @@ def encode(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
         for b in batches:
-            yield pd.DataFrame({key: b[key], "ids": [e.encode(t) for t in b[text]]})
+            yield pd.DataFrame({key: b[key], "ids": pd.Series([e.encode(t) for t in b[text]], index=b.index, dtype=object)})
 
     kind = df.schema[key].dataType.simpleString()
     return rows.mapInPandas(run, f"`{key}` {kind}, ids array<int>")

@@ -17,7 +17,8 @@ behind the last word are left out first.
 Defined results: null, blank and wordless texts are never truncated; a text seen nowhere else stays
 at the neutral share of one half and is not flagged; copies of a text under many keys count once in
 the statistics and all get its verdict; repeated rows of a key give one row; very long words are
-read in pieces of 32 characters; empty tables give empty results.
+read in pieces of 32 characters (one of many equal pieces may
+look cut); empty tables give empty results.
 """
 
 from __future__ import annotations
