@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import shuffle_partitions
+
 DIM = 64
 SHARD_ROWS = 16_000
 SAMPLE = 20_000
@@ -412,7 +414,10 @@ def similar_pairs(df: DataFrame, channels: dict[str, str], key: str = "vec_id",
     """
     router = fit_router(df, channels, key, shard_rows)
     routed = _route(df, channels, key, router, slack, k)
-    found = routed.groupBy("channel", "cell").applyInArrow(
+    # About one cell for a task, whatever the session's number of partitions: cells are bounded, tasks then are too.
+    cells = sum(int(parts.sum()) for _, parts in router.values())
+    spread = routed.repartition(max(shuffle_partitions(df.sparkSession), cells), "channel", "cell")
+    found = spread.groupBy("channel", "cell").applyInArrow(
         lambda t: _cell_pairs(t, k, min_sim - 1e-6), "channel string, vec_a bigint, vec_b bigint, similarity double")
     return found.groupBy("channel", "vec_a", "vec_b").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= min_sim - 1e-9)
 
