@@ -289,7 +289,7 @@ def fit_router(df: DataFrame, channels: dict[str, str], key: str, shard_rows: in
     rows = df.count()
     share = min(1.0, sample / max(1, rows))
     picked = df.where(F.pmod(F.xxhash64(F.lit("router"), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000) + 1) \
-        .select(*channels.values()).limit(2 * sample).toArrow()
+        .select(key, *channels.values()).limit(2 * sample).toArrow().sort_by(key)  # the same anchors in every run
     router = {}
     for name, column in channels.items():
         _, x = _matrix(picked[column])
