@@ -156,6 +156,25 @@ def test_neighbours_copies_and_empty(spark):
     assert neighbours.similar_pairs(df.limit(1), {"c": "emb"}).count() == 0
 
 
+def test_every_vector_gets_its_neighbours(spark):
+    x = np.random.default_rng(8).normal(size=(1500, 64)) + np.repeat(np.random.default_rng(9).normal(size=(30, 64)), 50, axis=0)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x[1400:] = x[7]  # more copies than are forwarded
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    dirt = [(5000, None), (5001, [0.0] * 64), (5002, [1.0] * 8), (None, x[0].tolist())]
+    df = spark.createDataFrame(rows + rows[:50] + dirt, "vec_id bigint, emb array<float>").coalesce(2)
+    sims = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(sims, -2)
+    want = {(i, int(j), r + 1) for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), -sims[i].round(6)))[:5])}
+    got = [(i, j, r) for _, i, j, _, r in neighbours.all_nearest(df, {"c": "emb"}).collect()]
+    assert len(got) == len(set(got)) == 5 * len(x) and len(want & set(got)) / len(want) > 0.999  # one shard: all compared
+    split = [(i, j) for _, i, j, _, _ in neighbours.all_nearest(df, {"c": "emb"}, shard_rows=60).collect()]
+    assert len(split) == len(set(split)) and {i for i, _ in split} == set(range(len(x)))
+    assert len({(i, j) for i, j, _ in want} & set(split)) / len(want) >= 0.9  # 25 shards
+    assert neighbours.all_nearest(df.limit(0), {"c": "emb"}).count() == 0
+    assert neighbours.all_nearest(df.limit(1), {"c": "emb"}).count() == 0
+
+
 # 6: tokenizer
 
 @pytest.mark.skipif(not os.path.exists(tokenizer.VOCABULARY), reason="no vocabulary")

@@ -37,6 +37,8 @@ SAMPLE = 20_000
 MAX_ANCHORS = 2_000
 #: A vector also queries the shards whose anchors are nearly as similar as its own shard's.
 SLACK = 0.04
+#: The same for ``all_nearest``, whose neighbours are mostly far ones.
+WIDE_SLACK = 0.22
 LINKS = 8
 EF_BUILD = 16
 EF_SEARCH = 16
@@ -438,3 +440,111 @@ def mutual(pairs: DataFrame, k: int = 5) -> DataFrame:
         top.groupBy("channel", low.alias("vec_a"), F.greatest("id", "neighbour").alias("vec_b"))
         .agg(F.count("*").alias("n")).where("n = 2").select("channel", "vec_a", "vec_b")
     )
+
+
+def _best(index: np.ndarray, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of ``index``, similarities) of the ``most`` nearest of each query, by comparing with all, in no order."""
+    groups = 64
+    width = -(-len(index) // groups)
+    padded = np.zeros((groups * width, DIM), np.float32)
+    padded[:len(index)] = index
+    most = min(most, len(index))
+    rows, sims = np.empty((len(q), most), np.int64), np.empty((len(q), most), np.float32)
+    for lo in range(0, len(q), 256):
+        s = q[lo:lo + 256] @ padded.T
+        s[:, len(index):] = -9
+        # The nearest lie in the columns with the highest maxima.
+        top = s.reshape(len(s), groups, width).max(axis=1)
+        col = np.argpartition(-top, min(most, width) - 1, axis=1)[:, :min(most, width)]
+        at = (col[:, :, None] + np.arange(groups) * width).reshape(len(s), -1)
+        near = np.take_along_axis(s, at, 1)
+        pick = np.argpartition(-near, most - 1, axis=1)[:, :most]
+        rows[lo:lo + 256], sims[lo:lo + 256] = np.take_along_axis(at, pick, 1), np.take_along_axis(near, pick, 1)
+    return rows, sims
+
+
+def _cell_nearest(table: pa.Table, k: int) -> pa.Table:
+    """The k most similar vectors of one cell for each of its vectors and guests."""
+    ids, home = np.asarray(table["id"]), np.asarray(table["home"])
+    x = np.frombuffer(b"".join(table["v"].to_pylist()), dtype=np.float32).reshape(-1, DIM)
+    every = np.flatnonzero(home)
+    keep = every[_smallest(ids[every], x[every], k + 1)] if len(every) else every
+    out = {"channel": pa.array([], pa.string()), "id": pa.array([], pa.int64()),
+           "near": pa.array([], pa.list_(pa.struct([("far", pa.float32()), ("neighbour", pa.int64())])))}
+    if not len(keep):
+        return pa.table(out)
+    keys = np.ascontiguousarray(x[keep]).view(np.dtype((np.void, DIM * 4))).ravel()
+    _, first, member = np.unique(keys, return_index=True, return_inverse=True)
+    order = np.lexsort((ids[keep], member))
+    begin = np.searchsorted(member[order], np.arange(len(first) + 1))
+    size = np.diff(begin)
+    members = np.full((len(first), int(size.max())), -1, np.int64)  # places in keep
+    members[np.repeat(np.arange(len(first)), size), np.arange(len(order)) - np.repeat(begin[:-1], size)] = order
+    # Repeated rows of an id ask once.
+    asks = np.unique(ids, return_index=True)[1]
+    nodes, sims = _best(x[keep][first], x[asks], k + 1)
+    blocks = []
+    for lo in range(0, len(asks), 20_000):
+        own = ids[asks[lo:lo + 20_000]]
+        place = members[nodes[lo:lo + 20_000]].reshape(len(own), -1)
+        far = -np.repeat(sims[lo:lo + 20_000], members.shape[1], axis=1).round(6)
+        other = ids[keep][place]
+        far[(place < 0) | (other == own[:, None])] = 9
+        by = np.lexsort((other, far), axis=1)[:, :k]
+        far, other = np.take_along_axis(far, by, 1), np.take_along_axis(other, by, 1)
+        real = far < 9
+        near = pa.StructArray.from_arrays([pa.array(far[real], pa.float32()), pa.array(other[real], pa.int64())], ["far", "neighbour"])
+        ends = np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32)
+        blocks.append(pa.table({"channel": pa.array([table["channel"][0].as_py()] * len(own)), "id": own, "near": pa.ListArray.from_arrays(pa.array(ends), near)}))
+    return pa.concat_tables(blocks)
+
+
+def _left_out(df: DataFrame, channels: dict[str, str], key: str, k: int) -> DataFrame:
+    """(channel, id, twin): the copies that routing doesn't forward, with a forwarded one of the same vector."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = np.asarray(b.column(b.schema.get_field_index(key)).fill_null(-1)).astype(np.int64)
+            known = np.asarray(b.column(b.schema.get_field_index(key)).is_valid())
+            for name, column in channels.items():
+                at, x = _matrix(b.column(b.schema.get_field_index(column)))
+                at, x = at[known[at]], x[known[at]]
+                if not len(at):
+                    continue
+                ids = every[at]
+                keep = _smallest(ids, x, k + 1)
+                lost = np.flatnonzero(~np.isin(ids, ids[keep]))
+                twin = {x[i].tobytes(): ids[i] for i in keep[np.argsort(-ids[keep])]} if len(lost) else {}
+                lost = [i for i in lost if x[i].tobytes() in twin]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lost), pa.string()), pa.array(ids[lost].astype(np.int64) if lost else [], pa.int64()),
+                                                  pa.array([twin[x[i].tobytes()] for i in lost], pa.int64())], names=["channel", "id", "twin"])
+
+    return df.select(key, *channels.values()).mapInArrow(run, "channel string, id bigint, twin bigint")
+
+
+def all_nearest(df: DataFrame, channels: dict[str, str], key: str = "vec_id", k: int = 5, slack: float = WIDE_SLACK,
+                shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(channel, id, neighbour, similarity, rank): every vector's ``k`` most similar, however far, ties to the smaller id.
+
+    A vector is compared with all vectors of the shards it visits, so only unvisited shards cost recall.
+    """
+    router = fit_router(df, channels, key, shard_rows)
+    routed = _route(df, channels, key, router, slack, k)
+    cells = sum(int(parts.sum()) for _, parts in router.values())
+    spread = routed.repartition(max(shuffle_partitions(df.sparkSession), cells), "channel", "cell")
+    shape = "array<struct<far: float, neighbour: bigint>>"
+    found = spread.groupBy("channel", "cell").applyInArrow(lambda t: _cell_nearest(t, k), f"channel string, id bigint, near {shape}")
+    lost = _left_out(df, channels, key, k)
+    more = not lost.isEmpty()
+    if more:
+        found = found.withColumn("copy", F.lit(None).cast("bigint")).unionByName(
+            lost.select("channel", F.col("twin").alias("id"), F.lit(None).cast(shape).alias("near"), F.col("id").alias("copy")))
+    lists = found.groupBy("channel", "id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"),
+                                               *([F.collect_set("copy").alias("copies")] if more else []))
+    if more:
+        # A copy left out has more than k copies of smaller ids: its nearest are its twin's and the twin.
+        whole = F.array_sort(F.concat("near", F.array(F.struct(F.lit(-1.0).cast("float").alias("far"), F.col("id").alias("neighbour")))))
+        lists = lists.select("channel", "id", "near").unionByName(
+            lists.select("channel", F.explode("copies").alias("id"), whole.alias("near")))
+        lists = lists.withColumn("near", F.filter("near", lambda n: n["neighbour"] != F.col("id"))).withColumn("near", F.slice("near", 1, k)).distinct()
+    return lists.select("channel", "id", F.posexplode(F.slice("near", 1, k)).alias("at", "n")).select(
+        "channel", "id", F.col("n.neighbour").alias("neighbour"), (-F.col("n.far").cast("double")).alias("similarity"), (F.col("at") + 1).alias("rank"))
