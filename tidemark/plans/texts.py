@@ -31,6 +31,25 @@ def grams(D: Dialect, c: str, n: int) -> str:
     return D.map_(D.seq("1", f"length({c}) - {n - 1}"), f"p -> substring({c}, p, {n})" if D.spark else f"p -> substring({c}, CAST(p AS INT), {n})")
 
 
+#: White space as the reference's tokens leave it out.
+BLANK = r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def bm25(D: Dialect) -> str:
+    """All 2-grams and 3-grams as terms; every segment of the video is a document, one without terms too."""
+    terms = lambda source, keys: " UNION ALL ".join(f"SELECT {keys}, g FROM {D.each(source, grams(D, 'body', n), 'g')}" for n in (2, 3))
+    return (f"WITH {seg(D)}, d AS (SELECT video_id, idx, {D.rep('sub', BLANK)} AS body FROM seg WHERE sub IS NOT NULL), "
+            f"q0 AS (SELECT DISTINCT query_id, {D.rep('text', BLANK)} AS body, video_id FROM {D.t('queries_dev_only')} WHERE text IS NOT NULL), "
+            f"tf AS (SELECT video_id, idx, g, count(*) AS n FROM ({terms('d', 'video_id, idx')}) x GROUP BY video_id, idx, g), "
+            "ln AS (SELECT video_id, idx, sum(n) AS len FROM tf GROUP BY video_id, idx), "
+            "st AS (SELECT s.video_id, s.nd, coalesce(t.total, 0) * 1e0 / s.nd AS avl FROM (SELECT video_id, count(*) AS nd FROM seg GROUP BY video_id) s LEFT JOIN (SELECT video_id, sum(len) AS total FROM ln GROUP BY video_id) t ON t.video_id = s.video_id), "
+            "df AS (SELECT video_id, g, count(*) AS df FROM tf GROUP BY video_id, g), "
+            f"qt AS (SELECT query_id, video_id, g, count(*) AS m FROM ({terms('q0', 'query_id, video_id')}) x GROUP BY query_id, video_id, g), "
+            "b AS (SELECT qt.query_id, tf.idx, sum(qt.m * ln(1 + (st.nd - df.df + 0.5e0) / (df.df + 0.5e0)) * tf.n * 2.5e0 / (tf.n + 1.5e0 * (0.25e0 + 0.75e0 * l.len / st.avl))) AS s "
+            "FROM qt JOIN tf ON tf.video_id = qt.video_id AND tf.g = qt.g JOIN df ON df.video_id = qt.video_id AND df.g = qt.g JOIN ln l ON l.video_id = tf.video_id AND l.idx = tf.idx JOIN st ON st.video_id = qt.video_id GROUP BY qt.query_id, tf.idx), "
+            "r AS (SELECT query_id, idx, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 8) DESC, idx) AS rank FROM b) SELECT query_id, idx, round(s, 5) AS score, rank FROM r WHERE rank <= 10")
+
+
 B = {
     "x1_strip_residual_cjk": lambda D: f"WITH {caps(D)} SELECT video_id, idx, trim({D.rep(D.rep('cap', f'[{CJK}]+'), '[ ][ ]+', ' ')}) AS clean FROM cap",
     "x2_truncate_to_sentence": lambda D: f"WITH {caps(D)} SELECT video_id, idx, CASE WHEN {D.rx('cap', f'[{PUNCT}]')} THEN {D.rep('cap', f'[^{PUNCT}]*$')} ELSE cap END AS cut FROM cap",
@@ -93,6 +112,7 @@ B = {
                           "b AS (SELECT qt.query_id, tf.idx, sum(qt.m * ln(1 + (st.nd - df.df + 0.5e0) / (df.df + 0.5e0)) * tf.n * 2.5e0 / (tf.n + 1.5e0 * (0.25e0 + 0.75e0 * l.len / st.avl))) AS s "
                           "FROM qt JOIN tf ON tf.video_id = qt.video_id AND tf.g = qt.g JOIN df ON df.video_id = qt.video_id AND df.g = qt.g JOIN ln l ON l.video_id = tf.video_id AND l.idx = tf.idx JOIN st ON st.video_id = qt.video_id GROUP BY qt.query_id, tf.idx), "
                           "r AS (SELECT query_id, idx, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 8) DESC, idx) AS rank FROM b) SELECT query_id, idx, round(s, 5) AS score, rank FROM r WHERE rank <= 10",
+    "v21_bm25_full": bm25,
     "v26_rule_router": lambda D: f"SELECT query_type, CASE WHEN {D.rx('text', '말하는')} THEN 'speech' WHEN {D.rx('text', '장면|모습|풍경')} THEN 'scene' ELSE 'mixed' END AS route, count(DISTINCT query_id) AS n FROM {D.t('queries_dev_only')} WHERE text IS NOT NULL GROUP BY 1, 2",
     "s10_allow_list": lambda D: f"SELECT DISTINCT video_id, idx, start_sec, end_sec, rep_frame FROM {D.t('segments')}",
     "k11_mirror": lambda D: f"SELECT DISTINCT video_id, idx, start_sec, end_sec, subtitle FROM {D.t('segments')}",
