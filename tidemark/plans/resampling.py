@@ -18,6 +18,7 @@ from tidemark.session import cut_lineage
 
 REPLICATES = 2_000
 FLIPS = 200_000
+ROUNDS = 1_000
 BLOCKS = 64
 HITS = (1, 5, 10)
 
@@ -128,4 +129,54 @@ def b12_ratio_bootstrap_full(spark: SparkSession, d: str) -> DataFrame:
     return m.agg(lo.alias("lo"), hi.alias("hi"))
 
 
-QUERIES = {f.__name__: f for f in (b1_paired_bootstrap_full, b4_cluster_bootstrap_full, b5_bootstrap_p_full, b6_sign_flip_full, b12_ratio_bootstrap_full)}
+def permuted_purity(pairs: DataFrame, owner: str, label: str, seed: int, rounds: int = ROUNDS) -> DataFrame:
+    """(mean, p95, max, rounds) of the purity of the owners' labels when all labels are shuffled among all rows.
+
+    Only the owners' sizes and the labels' totals matter: each block gets its labels by a hypergeometric draw made once a round.
+    """
+    labels = sorted(r["count"] for r in pairs.groupBy(label).count().collect())
+    sizes = _blocks(pairs.groupBy(owner).agg(F.count("*").alias("n")), owner)
+    size = np.zeros(BLOCKS, np.int64)
+    for r in sizes.groupBy("block").agg(F.sum("n").alias("n")).collect():
+        size[r["block"]] = r["n"]
+    counted = int(sizes.where("n >= 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    rng = np.random.default_rng(seed)
+    # counts[round, block, label]; the marginals method takes any number of rows.
+    counts = np.zeros((rounds, BLOCKS, len(labels)), np.int64)
+    for b in range(rounds):
+        left = np.array(labels, np.int64)
+        for block in range(BLOCKS):
+            counts[b, block] = rng.multivariate_hypergeometric(left, size[block], method="marginals")
+            left -= counts[b, block]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("n", "descending"), (owner, "ascending")])
+        n, block = np.asarray(t["n"]), t["block"][0].as_py()
+        draw, top = np.random.default_rng([seed, block]), np.zeros(rounds, np.int64)
+        large = int((n > 2_000).sum())
+        small = n[large:]
+        place = np.repeat(np.arange(len(small)), small) * len(labels)
+        for b in range(rounds):
+            left = counts[b, block].copy()
+            for m in n[:large]:
+                got = draw.multivariate_hypergeometric(left, m, method="marginals")
+                left -= got
+                top[b] += got.max()
+            dealt = np.repeat(np.arange(len(labels)), left)
+            draw.shuffle(dealt)
+            each = np.bincount(place + dealt, minlength=len(small) * len(labels)).reshape(len(small), len(labels))
+            top[b] += each[small >= 2].max(axis=1, initial=0).sum() if len(small) else 0
+        return pa.table({"b": pa.array(np.arange(rounds)), "top": top})
+
+    purity = sizes.groupBy("block").applyInArrow(run, "b bigint, top bigint").groupBy("b").agg(F.sum("top").alias("top")) \
+        .select(F.round(F.col("top") / F.lit(max(1, counted)), 4).alias("p")).where(F.lit(counted > 0))
+    return purity.agg(F.round(F.avg("p"), 4).alias("mean"), F.sort_array(F.collect_list("p")).alias("all"), F.max("p").alias("max"), F.count("*").alias("rounds")) \
+        .select("mean", F.get("all", (F.col("rounds") * 0.95).cast("int")).alias("p95"), "max", "rounds")
+
+
+def b14_purity_chance_full(spark: SparkSession, d: str) -> DataFrame:
+    pairs = spark_query(lambda D: f"WITH {seg(D)} SELECT video_id, arm FROM seg")(spark, d)
+    return permuted_purity(cut_lineage(pairs), "video_id", "arm", 3)
+
+
+QUERIES = {f.__name__: f for f in (b1_paired_bootstrap_full, b4_cluster_bootstrap_full, b5_bootstrap_p_full, b6_sign_flip_full, b12_ratio_bootstrap_full, b14_purity_chance_full)}
