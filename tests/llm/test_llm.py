@@ -37,6 +37,14 @@ def test_truncation_finds_cuts_only(spark):
     assert (share.records, share.truncated) == (len(whole) + len(cut) + len(odd), len(cut))
 
 
+def test_truncation_finds_cuts_inside_a_citation(spark):
+    rng = random.Random(2)
+    whole = [f"{rng.choice(['A farmer', 'The cook'])} {rng.choice(['films', 'holds'])} the ladder in the kitchen. [seg#{i}]" for i in range(400)]
+    cut = ["The cook holds the ladder in the kitchen. [", "The cook holds the ladder in the kitchen ["]
+    found = rows_of(truncation.truncated(texts(spark, whole + cut)).select("rec_key"))
+    assert found == {(f"v#{i}",) for i in range(400, 402)}
+
+
 def test_truncation_empty(spark):
     assert truncation.truncated(texts(spark, []).limit(0)).count() == 0
 

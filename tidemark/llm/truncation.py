@@ -33,7 +33,7 @@ SMOOTHING = 4.0
 
 _CJK = "\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _WORD = rf"[{_CJK}]|[0-9A-Za-z가-힣[\p{{L}}\p{{M}}\p{{N}}&&[^{_CJK}]]]{{1,32}}|[，、,;:；：\[\]]"
-_STRAY = r"(?:\.{2,}|[^\p{L}\p{M}\p{N}.!?。！？，、,;:；：\]])+$"
+_STRAY = r"(?:\.{2,}|[^\p{L}\p{M}\p{N}.!?。！？，、,;:；：\[\]])+$"
 _BREAK = r"[.!?]+(?=\s|$)|[。！？]+|[\r\n]+"
 
 
@@ -67,7 +67,7 @@ def last_trigrams(rows: DataFrame) -> DataFrame:
     keep = [c for c in rows.columns if c != "text"]
     return (
         rows.where(F.col("text").rlike(r"\p{L}")).select(*keep, _marked().alias("marked"))
-        .where(~F.col("marked").endswith("¶") & sentence.rlike(r"\p{L}"))
+        .where(~F.col("marked").endswith("¶") & sentence.rlike(r"\p{L}|^\["))
         # The array function with the lambda variable evaluates the words once.
         .select(*keep, F.element_at(F.transform(F.array(sentence), lambda s: F.transform(
             F.array(_padded(s)), lambda w: F.struct(
