@@ -79,9 +79,9 @@ B = {
                                     f"g AS (SELECT 0.40e0 + i * 0.01e0 AS tau, best, rel FROM {D.each('m', D.seq('0', '40'), 'i')}) "
                                     "SELECT round(tau, 2) AS tau, sum(CASE WHEN rel AND best < tau THEN 1 ELSE 0 END) AS false_abstain, sum(CASE WHEN NOT rel AND best < tau THEN 1 ELSE 0 END) AS detected FROM g GROUP BY tau",
     "f5_abstention": lambda D: f"WITH {scores(D)} SELECT query_id, greatest(max(ss), max(sp)) < 0.55e0 AS abstain, max(ss) < 0.55e0 AS abstain_subtitle FROM sc GROUP BY query_id",
-    "p5_top_windows": lambda D: f"WITH {ranked(D)} SELECT query_id, {D.join(chr(39).join(['concat(CAST(idx * 5 AS STRING), ', '-', ', CAST(idx * 5 + 5 AS STRING))']), ' ', 'rank')} AS windows FROM rk WHERE rank <= 3 GROUP BY query_id",
-    "p20_ribbon": lambda D: f"WITH {ranked(D)} SELECT query_id, idx, round(power({minmax('score')}, 2.2e0), 5) AS heat FROM fu",
-    "p23_quadrant": lambda D: f"WITH {paired(D)} SELECT video_id, CASE WHEN avg(m1 - m0) >= 0 AND avg(k1 - k0) >= 0 THEN 'both' WHEN avg(m1 - m0) >= 0 THEN 'rr' WHEN avg(k1 - k0) >= 0 THEN 'rank' ELSE 'none' END AS quadrant FROM rr GROUP BY video_id",
+    "proj_p5_top_windows": lambda D: f"WITH {ranked(D)} SELECT query_id, {D.join(chr(39).join(['concat(CAST(idx * 5 AS STRING), ', '-', ', CAST(idx * 5 + 5 AS STRING))']), ' ', 'rank')} AS windows FROM rk WHERE rank <= 3 GROUP BY query_id",
+    "proj_p20_ribbon": lambda D: f"WITH {ranked(D)} SELECT query_id, idx, round(power({minmax('score')}, 2.2e0), 5) AS heat FROM fu",
+    "proj_p23_quadrant": lambda D: f"WITH {paired(D)} SELECT video_id, CASE WHEN avg(m1 - m0) >= 0 AND avg(k1 - k0) >= 0 THEN 'both' WHEN avg(m1 - m0) >= 0 THEN 'rr' WHEN avg(k1 - k0) >= 0 THEN 'rank' ELSE 'none' END AS quadrant FROM rr GROUP BY video_id",
     "a56_query_independence": lambda D: f"WITH {ranked(D)}, t AS (SELECT video_id, query_type, idx, count(*) AS n FROM rk WHERE rank = 1 GROUP BY video_id, query_type, idx) SELECT video_id, query_type, count(*) AS distinct_top, round(max(n) * 1e0 / sum(n), 6) AS modal_share FROM t GROUP BY video_id, query_type",
     "b2_alpha_grid": lambda D: f"WITH {ranked(D)}, g AS (SELECT i / 10e0 AS alpha, zz.* FROM {D.each('zz', D.seq('0', '10'), 'i')}), "
                                "s AS (SELECT alpha, query_id, idx, good, row_number() OVER (PARTITION BY alpha, query_id ORDER BY round(alpha * zs + (1e0 - alpha) * CASE WHEN mask THEN zs ELSE zp END, 8) DESC, idx) AS r FROM g), "

@@ -57,7 +57,7 @@ B = {
     "n12_half_split": lambda D: f"WITH v AS (SELECT DISTINCT video_id FROM {D.t('videos')}), r AS (SELECT video_id, row_number() OVER (ORDER BY {D.draw('1000000007', '2', 'video_id')}, video_id) AS r, count(*) OVER () AS n FROM v) SELECT video_id, r <= n / 2e0 AS first_half FROM r",
     "n14_spot_check": lambda D: f"WITH {rep(D)} SELECT report_id, sent_id FROM rep ORDER BY {D.draw('1000000007', '17', 'report_id', 'sent_id')}, report_id, sent_id LIMIT 30",
     "n20_census_cells": lambda D: f"WITH {raters(D)} SELECT arm, a, count(*) <= 50 AS census FROM rt GROUP BY arm, a",
-    "p21_blind_ids": lambda D: f"WITH f AS (SELECT rep_frame, min(idx) AS first FROM {D.t('segments')} GROUP BY rep_frame) SELECT rep_frame, concat('V', lpad(CAST(row_number() OVER (ORDER BY {D.draw('1000000007', '42', 'rep_frame')}, rep_frame) AS STRING), 5, '0')) AS blind FROM f",
+    "proj_p21_blind_ids": lambda D: f"WITH f AS (SELECT rep_frame, min(idx) AS first FROM {D.t('segments')} GROUP BY rep_frame) SELECT rep_frame, concat('V', lpad(CAST(row_number() OVER (ORDER BY {D.draw('1000000007', '42', 'rep_frame')}, rep_frame) AS STRING), 5, '0')) AS blind FROM f",
     "u1_split_leak": lambda D: f"WITH {qry(D)} SELECT video_id FROM qry WHERE split = 'dev' AND video_id IS NOT NULL INTERSECT SELECT video_id FROM qry WHERE split = 'test'",
     "u2_except": lambda D: f"WITH {qry(D)}, a AS (SELECT video_id, i FROM {D.each('qry', 'gt', 'i')}) SELECT video_id, i AS idx FROM a WHERE video_id IS NOT NULL EXCEPT SELECT video_id, idx FROM {D.t('segments')}",
     "u3_symmetric_difference": lambda D: f"WITH a AS (SELECT DISTINCT video_id FROM {D.t('segments')}), b AS (SELECT DISTINCT video_id FROM {D.t('report')}) SELECT coalesce(a.video_id, b.video_id) AS video_id, a.video_id IS NULL AS only_report FROM a FULL OUTER JOIN b ON a.video_id = b.video_id WHERE a.video_id IS NULL OR b.video_id IS NULL",

@@ -17,7 +17,7 @@ def f13_clear_corrupted(spark: SparkSession, d: str) -> DataFrame:
     return _captions(spark, d).select("video_id", "idx", F.when(X.is_corrupted_caption(F.col("caption")), "").otherwise(F.col("caption")).alias("caption"))
 
 
-def p14_display_clean(spark: SparkSession, d: str) -> DataFrame:
+def proj_p14_display_clean(spark: SparkSession, d: str) -> DataFrame:
     return _captions(spark, d).select("video_id", "idx", X.display_clean(F.col("caption")).alias("caption"))
 
 
@@ -32,5 +32,5 @@ def x6_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "report").select("report_id", "sent_id", X.last_verdict(answer).alias("verdict")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (f13_clear_corrupted, p14_display_clean, x5_parse_events, x6_verdicts)}
+QUERIES = {f.__name__: f for f in (f13_clear_corrupted, proj_p14_display_clean, x5_parse_events, x6_verdicts)}
 SQL: dict[str, str] = {}

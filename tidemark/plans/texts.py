@@ -80,15 +80,15 @@ B = {
     "f10_cite_subset": lambda D: f"WITH {cites(D)} SELECT report_id, sent_id, {D.size(D.meet('c', 'cites'))} AS kept, {D.size('c')} AS parsed FROM ct WHERE cites IS NOT NULL",
     "f26_between_markers": lambda D: f"WITH {rep(D)}, m AS (SELECT report_id, sent_id, text, max(CASE WHEN {D.rx('text', '\"')} THEN 1 ELSE 0 END) OVER (PARTITION BY report_id ORDER BY sent_id ROWS UNBOUNDED PRECEDING) AS inside FROM rep WHERE text IS NOT NULL) SELECT report_id, sent_id FROM m WHERE inside = 1 AND length(text) >= 8 AND {D.rx('text', '다[.]?$')}",
     "f27_secret_scan": lambda D: "WITH " + docs(D) + ", h AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name FROM doc WHERE {D.rx('text', p)}" for n, p in SECRETS.items()) + ") SELECT name, count(*) AS documents FROM h GROUP BY name",
-    "p3_postprocess_caption": lambda D: f"WITH {caps(D)}, c AS (SELECT video_id, idx, cap, trim({D.rep(D.rep('cap', f'[{CJK}]+'), '[ ][ ]+', ' ')}) AS clean FROM cap) SELECT video_id, idx, clean AS caption, CASE WHEN clean <> cap THEN cap END AS raw FROM c",
-    "p4_format_segment": lambda D: f"WITH {seg(D)} SELECT video_id, idx, concat('[seg#', CAST(idx AS STRING), '] ', lpad(CAST({D.idiv('s', '60')} AS STRING), 2, '0'), ':', lpad(CAST(s % 60 AS STRING), 2, '0'), ' subtitle: \"', coalesce(sub, ''), '\" caption: \"', coalesce(cap, ''), '\"') AS line FROM seg",
-    "p6_brief": lambda D: f"WITH {seg(D)} SELECT video_id, idx, substring(sub, 1, 60) AS sub, substring(cap, 1, 70) AS cap FROM seg",
-    "p8_sentences_of_events": lambda D: f"SELECT video_id, event_no, concat(event, ' [seg#', CAST({D.at('span', 0)} AS STRING), ']') AS text, row_number() OVER (PARTITION BY video_id ORDER BY event_no) - 1 AS sent_id FROM (SELECT DISTINCT video_id, event_no, event, span FROM {D.t('frozen_kheritage_grave_excavation')}) a WHERE event IS NOT NULL AND span IS NOT NULL",
-    "p12_half_of": lambda D: f"SELECT video_id, CASE WHEN (position(substring({D.sha('video_id')}, 2, 1) IN '0123456789abcdef') - 1) % 2 = 0 THEN 'A' ELSE 'B' END AS half FROM (SELECT DISTINCT video_id FROM {D.t('videos')}) v",
-    "p13_sanitize_id": lambda D: f"SELECT DISTINCT title, {D.rep('title', '[^a-zA-Z0-9_-]', '_')} AS safe FROM {D.t('videos')}",
-    "p16_global_ids": lambda D: f"WITH {seg(D)} SELECT concat(video_id, '#', CAST(idx AS STRING)) AS gid FROM seg",
-    "p17_publisher": lambda D: f"SELECT {'substring_index(video_id, ' + chr(39) + '_' + chr(39) + ', 1)' if D.spark else 'split_part(video_id, ' + chr(39) + '_' + chr(39) + ', 1)'} AS family, count(DISTINCT video_id) AS videos FROM {D.t('videos')} GROUP BY 1",
-    "p18_expected_segments": lambda D: f"SELECT DISTINCT video_id, CAST(ceil(duration_sec / 5e0) AS BIGINT) AS expected, n_segments FROM {D.t('videos')}",
+    "proj_p3_postprocess_caption": lambda D: f"WITH {caps(D)}, c AS (SELECT video_id, idx, cap, trim({D.rep(D.rep('cap', f'[{CJK}]+'), '[ ][ ]+', ' ')}) AS clean FROM cap) SELECT video_id, idx, clean AS caption, CASE WHEN clean <> cap THEN cap END AS raw FROM c",
+    "proj_p4_format_segment": lambda D: f"WITH {seg(D)} SELECT video_id, idx, concat('[seg#', CAST(idx AS STRING), '] ', lpad(CAST({D.idiv('s', '60')} AS STRING), 2, '0'), ':', lpad(CAST(s % 60 AS STRING), 2, '0'), ' subtitle: \"', coalesce(sub, ''), '\" caption: \"', coalesce(cap, ''), '\"') AS line FROM seg",
+    "proj_p6_brief": lambda D: f"WITH {seg(D)} SELECT video_id, idx, substring(sub, 1, 60) AS sub, substring(cap, 1, 70) AS cap FROM seg",
+    "proj_p8_sentences_of_events": lambda D: f"SELECT video_id, event_no, concat(event, ' [seg#', CAST({D.at('span', 0)} AS STRING), ']') AS text, row_number() OVER (PARTITION BY video_id ORDER BY event_no) - 1 AS sent_id FROM (SELECT DISTINCT video_id, event_no, event, span FROM {D.t('frozen_kheritage_grave_excavation')}) a WHERE event IS NOT NULL AND span IS NOT NULL",
+    "proj_p12_half_of": lambda D: f"SELECT video_id, CASE WHEN (position(substring({D.sha('video_id')}, 2, 1) IN '0123456789abcdef') - 1) % 2 = 0 THEN 'A' ELSE 'B' END AS half FROM (SELECT DISTINCT video_id FROM {D.t('videos')}) v",
+    "proj_p13_sanitize_id": lambda D: f"SELECT DISTINCT title, {D.rep('title', '[^a-zA-Z0-9_-]', '_')} AS safe FROM {D.t('videos')}",
+    "proj_p16_global_ids": lambda D: f"WITH {seg(D)} SELECT concat(video_id, '#', CAST(idx AS STRING)) AS gid FROM seg",
+    "proj_p17_publisher": lambda D: f"SELECT {'substring_index(video_id, ' + chr(39) + '_' + chr(39) + ', 1)' if D.spark else 'split_part(video_id, ' + chr(39) + '_' + chr(39) + ', 1)'} AS family, count(DISTINCT video_id) AS videos FROM {D.t('videos')} GROUP BY 1",
+    "proj_p18_expected_segments": lambda D: f"SELECT DISTINCT video_id, CAST(ceil(duration_sec / 5e0) AS BIGINT) AS expected, n_segments FROM {D.t('videos')}",
     "a14_chunk_coverage": lambda D: f"WITH {rep(D)}, c AS (SELECT DISTINCT report_id, video_id, x FROM {D.each('rep', 'cites', 'x')}), s AS (SELECT video_id, count(DISTINCT idx) AS n FROM {D.t('segments')} GROUP BY video_id) SELECT c.report_id, count(*) AS cited, round(count(*) * 1e0 / max(s.n), 6) AS coverage FROM c JOIN s ON c.video_id = s.video_id GROUP BY c.report_id",
     "a15_distinct_ratio": lambda D: f"WITH {rep(D)} SELECT report_id, round(count(DISTINCT text) * 1e0 / nullif(count(text), 0), 6) AS ratio FROM rep GROUP BY report_id",
     "a16_groundedness": lambda D: f"WITH {cites(D)} SELECT model, count(*) AS n, round(sum(CASE WHEN {D.size('c')} > 0 THEN 1e0 ELSE 0e0 END) / nullif(count(*), 0), 6) AS grounded FROM ct GROUP BY model",

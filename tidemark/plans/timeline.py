@@ -31,10 +31,10 @@ def islands(D: Dialect) -> str:
 
 
 B = {
-    "p1_make_segments": lambda D: f"WITH {grid(D)} SELECT video_id, idx, s, round(e, 6) AS e FROM grd",
-    "p2_request_grid": lambda D: f"WITH {vids(D)} SELECT video_id, i AS second, CAST(floor(i * fps + 0.5e0) AS BIGINT) AS frame FROM {D.each('vid', D.seq('0', 'floor(dur) - 1'), 'i')} WHERE fps IS NOT NULL",
-    "p9_reference_spans": lambda D: f"WITH {overlaps(D)} SELECT video_id, event_no, min(w) AS a, max(w) AS b, count(*) AS n FROM ov GROUP BY video_id, event_no",
-    "p19_clock": lambda D: f"WITH {seg(D)}, c AS (SELECT video_id, idx, s, concat(lpad(CAST({D.idiv('s', '60')} AS STRING), 3, '0'), ':', lpad(CAST(s % 60 AS STRING), 2, '0')) AS c FROM seg) SELECT video_id, idx, c AS clock, CAST(substring(c, 1, 3) AS INT) * 60 + CAST(substring(c, 5, 2) AS INT) AS seconds FROM c",
+    "proj_p1_make_segments": lambda D: f"WITH {grid(D)} SELECT video_id, idx, s, round(e, 6) AS e FROM grd",
+    "proj_p2_request_grid": lambda D: f"WITH {vids(D)} SELECT video_id, i AS second, CAST(floor(i * fps + 0.5e0) AS BIGINT) AS frame FROM {D.each('vid', D.seq('0', 'floor(dur) - 1'), 'i')} WHERE fps IS NOT NULL",
+    "proj_p9_reference_spans": lambda D: f"WITH {overlaps(D)} SELECT video_id, event_no, min(w) AS a, max(w) AS b, count(*) AS n FROM ov GROUP BY video_id, event_no",
+    "proj_p19_clock": lambda D: f"WITH {seg(D)}, c AS (SELECT video_id, idx, s, concat(lpad(CAST({D.idiv('s', '60')} AS STRING), 3, '0'), ':', lpad(CAST(s % 60 AS STRING), 2, '0')) AS c FROM seg) SELECT video_id, idx, c AS clock, CAST(substring(c, 1, 3) AS INT) * 60 + CAST(substring(c, 5, 2) AS INT) AS seconds FROM c",
     "j1_overlap_join": lambda D: f"WITH {overlaps(D)}, {seg(D)}, t AS (SELECT o.video_id, o.w, {D.join('o.event', ' ', 'o.event_no')} AS events FROM ov o WHERE o.event IS NOT NULL GROUP BY o.video_id, o.w) SELECT s.video_id, s.idx, coalesce(t.events, '') AS events FROM seg s LEFT JOIN t ON t.video_id = s.video_id AND t.w = s.idx",
     "j2_derive_truth": lambda D: f"WITH {qry(D)}, g AS (SELECT query_id, i, least(gt_end, i * 5e0 + 5e0) - greatest(gt_start, i * 5e0) AS ov FROM {D.each('(SELECT DISTINCT query_id, gt_start, gt_end FROM qry WHERE gt_end > gt_start AND gt_start >= 0) q', D.seq('floor(gt_start / 5e0)', 'floor(gt_end / 5e0)'), 'i')}), "
                                  "m AS (SELECT query_id, i, ov, max(ov) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id ORDER BY ov DESC, i) AS r FROM g) SELECT query_id, i AS idx FROM m WHERE ov >= 1e0 OR (best < 1e0 AND r = 1)",

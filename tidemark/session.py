@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +27,18 @@ def local_session(cpus: int | str = 8, app: str = "tidemark") -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder named by ``spark.checkpoint.dir``.
 
-    Only when that setting is absent (local tests) is a private folder set.
+    Where that setting is absent, a local master gets a private folder; a cluster is refused one,
+    as its executors could not read each other's files there.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir names no shared folder")
+            folder = tempfile.mkdtemp(prefix="tidemark-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
