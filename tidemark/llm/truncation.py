@@ -1,18 +1,22 @@
 """Texts cut off by field limits, found from word trigrams inside texts against word trigrams at ends.
 
 Pure SQL. Texts are split into sentences and words (one character each in scripts without blanks,
-digits folded to 0, commas and brackets kept as words). Over all distinct texts, every trigram
-(a, b, c) is counted with how it goes on:
+digits folded to 0, commas and brackets kept as words; ¶ stands for a sentence's bounds). Over all
+distinct texts, every trigram (a, b, c) is counted with how it goes on; a and b travel as 64-bit
+hashes, c as the word:
 
 * inside: another word follows in the sentence, or c is only the beginning of a longer word there
   (every proper beginning of c counts as an inside occurrence of that beginning),
-* end: the sentence ends behind c.
+* end: the sentence ends behind c; open: the whole text does, without a terminator.
 
 A text that doesn't end in a terminator is joined on its last trigram. The share of ends among all
 occurrences, without the text itself, is smoothed from word to bigram to trigram
-(``(ends + k * lower) / (all + k)``, below the word the place behind b alone); a share of at most ``max_share`` means that this place is
-frequent inside and almost never terminal, so the text lost its end. Ellipses and stray symbols
-behind the last word are left out first.
+(``(ends + k * lower) / (all + k)``, below the word the place behind b alone); a share of at most
+``max_share`` means that this place is frequent inside and almost never terminal, so the text lost
+its end. Ellipses and stray symbols behind the last word are left out first.
+
+Only open trigrams are judged, so only beginnings that are some open trigram's word are counted, and
+the words are spelled out in the vocabulary, not in the trigrams.
 
 Defined results: null, blank and wordless texts are never truncated; a text seen nowhere else stays
 at the neutral share of one half and is not flagged; copies of a text under many keys count once in
@@ -32,9 +36,11 @@ MAX_SHARE = 0.2
 SMOOTHING = 4.0
 
 _CJK = "\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
-_WORD = rf"[{_CJK}]|[0-9A-Za-z가-힣[\p{{L}}\p{{M}}\p{{N}}&&[^{_CJK}]]]{{1,32}}|[，、,;:；：\[\]]"
+_WORD = rf"[0-9A-Za-z가-힣[\p{{L}}\p{{M}}\p{{N}}&&[^{_CJK}]]]{{1,32}}|[{_CJK}，、,;:；：\[\]¶]"
 _STRAY = r"(?:\.{2,}|[^\p{L}\p{M}\p{N}.!?。！？，、,;:；：\[\]])+$"
-_BREAK = r"[.!?]+(?=\s|$)|[。！？]+|[\r\n]+"
+_BREAK = r"[.!?]+(?=\s|$)|[。！？\r\n]+"
+#: Everything behind the last break: a terminator, a line's end, a closing bracket, or before an opening one.
+_TAIL = r"(?s)^(?:.*(?:[.!?](?=\s|$)|[。！？\r\n\]¶]|(?=\[)))?(.*)$"
 
 
 def records(segments: DataFrame, report: DataFrame) -> DataFrame:
@@ -50,60 +56,55 @@ def records(segments: DataFrame, report: DataFrame) -> DataFrame:
     ))
 
 
-def _marked(text: str = "text"):
-    """The text without stray symbols at its end, digits folded, sentences parted by ¶."""
-    body = F.regexp_replace(F.regexp_replace(text, "[0-9]+", "0"), _STRAY, "")
-    marked = F.regexp_replace(body, _BREAK, "¶")
-    return F.regexp_replace(F.regexp_replace(marked, r"\[", "¶["), r"\]", "]¶")
+def _bare(text: str = "text"):
+    """The text without stray symbols at its end, digits folded."""
+    return F.regexp_replace(F.regexp_replace(text, "[0-9]+", "0"), _STRAY, "")
 
 
-def _padded(sentence):
-    return F.concat(F.array(F.lit("^"), F.lit("^")), F.regexp_extract_all(sentence, F.lit(_WORD), F.lit(0)))
+def _words(text):
+    return F.regexp_extract_all(F.concat(F.lit("¶¶"), text), F.lit(_WORD), F.lit(0))
 
 
 def last_trigrams(rows: DataFrame) -> DataFrame:
-    """Rows whose text doesn't end in a terminator, with the last trigram (a, b, c) in place of the text."""
-    sentence = F.substring_index("marked", "¶", -1)
+    """Rows whose text doesn't end in a terminator, with the last trigram (ab, b, c) in place of the text."""
     keep = [c for c in rows.columns if c != "text"]
-    return (
-        rows.where(F.col("text").rlike(r"\p{L}")).select(*keep, _marked().alias("marked"))
-        .where(~F.col("marked").endswith("¶") & sentence.rlike(r"\p{L}|^\["))
-        # The array function with the lambda variable evaluates the words once.
-        .select(*keep, F.element_at(F.transform(F.array(sentence), lambda s: F.transform(
-            F.array(_padded(s)), lambda w: F.struct(
-                F.get(w, F.size(w) - 3).alias("a"), F.get(w, F.size(w) - 2).alias("b"), F.get(w, F.size(w) - 1).alias("c")))[0]), 1).alias("t"))
-        .select(*keep, "t.a", "t.b", "t.c")
+    end = F.right("text", F.lit(1))
+    finished = end.isin("!", "?", "。", "！", "？", "]") | ((end == ".") & (F.right("text", F.lit(2)) != ".."))
+    # Generators keep the filters behind them, so that nothing is evaluated twice.
+    tails = (
+        rows.where(F.col("text").isNotNull() & ~finished)
+        .select(*keep, F.col("text").rlike(r"\p{L}").alias("worded"), F.explode(F.array(F.regexp_extract(_bare(), _TAIL, 1))).alias("tail"))
+        .where("worded").where(F.col("tail").rlike(r"\p{L}|^\["))
     )
+    return tails.select(*keep, F.explode(F.array(_words(F.col("tail")))).alias("w")).select(
+        *keep, F.xxhash64(F.element_at("w", -3), F.element_at("w", -2)).alias("ab"),
+        F.xxhash64(F.element_at("w", -2)).alias("b"), F.element_at("w", -1).alias("c"))
 
 
 def trigram_counts(texts: DataFrame) -> DataFrame:
-    """(a, b, c, inside, ends) over all sentences of (text)."""
-    def grams(w):
-        return F.transform(F.sequence(F.lit(2), F.size(w) - 1), lambda i: F.struct(
-            F.get(w, i - 2).alias("a"), F.get(w, i - 1).alias("b"), F.get(w, i).alias("c"),
-            (i == F.size(w) - 1).cast("int").alias("end")))
-
-    sentences = F.filter(F.transform(F.split(_marked(), "¶"), _padded), lambda w: F.size(w) > 2)
-    return (
-        texts.where(F.col("text").rlike(r"\p{L}"))
-        .select(F.explode(F.flatten(F.transform(sentences, grams))).alias("g"))
-        .groupBy("g.a", "g.b", "g.c")
-        .agg(F.sum(1 - F.col("g.end")).alias("inside"), F.sum("g.end").alias("ends"))
-    )
-
-
-def end_shares(grams: DataFrame, lasts: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
-    """The distinct last trigrams (a, b, c) with ``share``, the smoothed share of ends."""
+    """(ab, b, c, inside, ends, open) over all sentences of (text)."""
+    marked = F.regexp_replace(_bare(), _BREAK, "¶¶")
+    marked = F.replace(F.replace(marked, F.lit("["), F.lit("¶¶[")), F.lit("]"), F.lit("]¶¶"))
+    words = texts.where(F.col("text").rlike(r"\p{L}")).select(_words(marked).alias("a"))
+    shifted = words.select("a", *[F.slice("a", i, F.size("a")).alias(n) for i, n in ((2, "b"), (3, "c"), (4, "d"))])
+    # Zipped arrays are as long as the longest, so what follows the last word is null.
+    grams = shifted.select(F.inline(F.arrays_zip("a", "b", "c", "d"))).where("c <> '¶'")
+    return grams.groupBy(F.xxhash64("a", "b").alias("ab"), F.xxhash64("b").alias("b"), "c").agg(
+        F.count_if(F.col("d") != "¶").alias("inside"), F.count_if(F.coalesce(F.col("d"), F.lit("¶")) == "¶").alias("ends"),
+        F.count_if(F.col("d").isNull()).alias("open"))
+
+
+def end_shares(grams: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+    """The open trigrams (ab, b, c) with ``share``, the smoothed share of ends."""
+    wanted = grams.where("open > 0").select("ab", "b", "c")
     # A beginning of c is an inside occurrence of that beginning; c itself as it was counted.
-    spelled = grams.select("a", "b", "c", "inside", "ends", F.explode(
-        F.transform(F.sequence(F.lit(1), F.length("c")), lambda n: F.substring(F.col("c"), F.lit(1), n))).alias("p"))
+    spelled = grams.select(F.col("c").alias("word")).distinct().select("word", F.explode(
+        F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.left(F.col("word"), n))).alias("p"))
+    spelled = spelled.join(wanted.select(F.col("c").alias("p")).distinct(), "p")
     whole = F.col("p") == F.col("c")
-    counts = spelled.groupBy("a", "b", F.col("p").alias("c")).agg(
+    counts = grams.join(spelled, grams.c == spelled.word).groupBy("ab", "b", F.col("p").alias("c")).agg(
         F.sum(F.when(whole, F.col("inside")).otherwise(F.col("inside") + F.col("ends"))).alias("n3"),
         F.sum(F.when(whole, F.col("ends")).otherwise(0)).alias("e3"))
-    wanted = lasts.select("a", "b", "c").distinct()
-    # Only beginnings that are some text's last word are of use below.
-    counts = counts.join(wanted.select("c").distinct(), "c", "left_semi")
     two = counts.groupBy("b", "c").agg(F.sum("n3").alias("n2"), F.sum("e3").alias("e2"))
     one = two.groupBy("c").agg(F.sum("n2").alias("n1"), F.sum("e2").alias("e1"))
     # For words seen nowhere else (cut names): how often a sentence ends with the word behind b.
@@ -114,19 +115,17 @@ def end_shares(grams: DataFrame, lasts: DataFrame, smoothing: float = SMOOTHING)
         own = F.col(f"e{n}") - 1  # without the text that is judged
         share = (own + k * share) / (own + F.col(f"n{n}") + k)
     return (
-        wanted.join(counts, ["a", "b", "c"]).join(two, ["b", "c"]).join(one, "c").join(behind, "b")
-        .select("a", "b", "c", share.alias("share"))
+        wanted.join(counts, ["ab", "b", "c"]).join(two, ["b", "c"]).join(one, "c").join(behind, "b")
+        .select("ab", "b", "c", share.alias("share"))
     )
 
 
 def truncated(rows: DataFrame, max_share: float = MAX_SHARE, smoothing: float = SMOOTHING) -> DataFrame:
     """The rows (rec_table, rec_key, source, text) whose text lost its end, without the text."""
     texts = rows.where(F.col("text").rlike(r"\p{L}")).select("text").distinct()
-    # Both are used several times and far smaller than the texts.
-    grams = cut_lineage(trigram_counts(texts))
-    lasts = cut_lineage(last_trigrams(rows))
-    cut = end_shares(grams, lasts, smoothing).where(F.col("share") <= max_share)
-    return lasts.join(cut, ["a", "b", "c"]).select("rec_table", "rec_key", "source").distinct()
+    grams = cut_lineage(trigram_counts(texts))  # used several times and far smaller than the texts
+    cut = end_shares(grams, smoothing).where(F.col("share") <= max_share)
+    return last_trigrams(rows).join(cut, ["ab", "b", "c"], "left_semi").select("rec_table", "rec_key", "source").distinct()
 
 
 def source_shares(rows: DataFrame, found: DataFrame) -> DataFrame:
