@@ -1,14 +1,17 @@
 """The most similar vectors of every vector: a navigable small-world graph per shard, merged.
 
-Vectors are normalised and routed to the shard of their nearest anchor (spherical k-means on a
-bounded sample: ``SAMPLE`` vectors of the smallest hashes; every row is indexed). Each shard holds
-one hierarchical navigable small-world graph, stored as flat int32 neighbour arrays, one for each
-level. Vectors enter in batches: a batch is searched in the graph so far, in lockstep (all queries
-take a step at once), and compared with itself; links follow the diversity rule (a candidate is
-linked only if it is nearer to the vector than to a neighbour already linked). Every vector is a
-query in its own shard and in the ``probes`` - 1 next nearest; the results of the shards
-are merged per vector, and links count in both directions. Shards expected to exceed ``SHARD_ROWS``
-are split in parts, and queries visit every part.
+Vectors are normalised and routed to the shard of their nearest anchor. Anchors are spherical k-means
+on a bounded sample (``SAMPLE`` vectors of the smallest hashes; every row is indexed) and grow in
+number with the input: up to ``COARSE`` in one level, beyond that each is refined by a second set,
+fitted on the sample's residuals and shared by all of them, so routing costs the sum and not the
+product of the two. Each shard holds one hierarchical navigable small-world graph, stored as flat
+int32 neighbour arrays, one for each level. Vectors enter in batches: a batch is searched in the graph
+so far, in lockstep (all queries take a step at once), and compared with itself; links follow the
+diversity rule (a candidate is linked only if it is nearer to the vector than to a neighbour already
+linked). Every vector is a query in its own shard and in those whose anchors are nearly as near
+(``SLACK``); the results of the shards are merged per vector, and links count in both directions.
+A shard expected to exceed ``MOST_ROWS`` is split in parts, and queries visit every part. Shards are
+packed into tasks of about ``TASK_ROWS`` visits, by number, so no task holds two full loads.
 
 Of vectors that are equal bit for bit, only the k + 1 smallest ids can be among anyone's k nearest
 (ties go to the smaller id), so every batch forwards no more of them: a group of copies never
@@ -21,28 +24,32 @@ vector is not its own neighbour; fewer than two vectors give an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import shuffle_partitions
-
 DIM = 64
-SHARD_ROWS = 16_000
+SHARD_ROWS = 2_000
+MOST_ROWS = 64_000
+TASK_ROWS = 24_000
 SAMPLE = 20_000
-MAX_ANCHORS = 2_000
+COARSE = 1_000
 #: A vector also queries the shards whose anchors are nearly as similar as its own shard's.
-SLACK = 0.04
+SLACK = 0.03
 #: The same for ``all_nearest``, whose neighbours are mostly far ones.
 WIDE_SLACK = 0.22
+#: Rows of a shard for ``all_nearest``: far neighbours need larger ones.
+WIDE_SHARD_ROWS = 16_000
 LINKS = 8
-EF_BUILD = 16
-EF_SEARCH = 16
+EF_BUILD = 24
+EF_SEARCH = 20
 CHUNK = 1024
+#: Cells of the table of seen nodes that a search may hold.
+SEEN_CELLS = 1 << 25
 
 
 class Graph:
@@ -129,8 +136,9 @@ class Graph:
         b, n, width = len(q), len(x), graph.shape[1]
         out_ids = np.full((b, ef), -1, dtype=np.int32)
         out_sims = np.full((b, ef), -2.0, dtype=np.float32)
-        for lo in range(0, b, CHUNK):
-            part = q[lo:lo + CHUNK]
+        step = max(16, min(CHUNK, SEEN_CELLS // (n + 1)))
+        for lo in range(0, b, step):
+            part = q[lo:lo + step]
             m = len(part)
             # Column n stands for "no neighbour" and is always seen.
             seen = np.zeros(m * (n + 1), dtype=bool)
@@ -140,7 +148,7 @@ class Graph:
             ids = np.full((m, ef), -1, dtype=np.int32)
             sims = np.full((m, ef), -2.0, dtype=np.float32)
             score = np.full((m, ef), -4.0, dtype=np.float32)  # of the nodes still to be opened
-            e = entry[lo:lo + CHUNK]
+            e = entry[lo:lo + step]
             for c in range(min(e.shape[1], ef)):
                 at = base + np.where(e[:, c] >= 0, e[:, c], n)
                 new = np.flatnonzero(~seen[at])
@@ -285,61 +293,182 @@ def anchors_of(sample: np.ndarray, count: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
-def fit_router(df: DataFrame, channels: dict[str, str], key: str, shard_rows: int = SHARD_ROWS,
-               sample: int = SAMPLE) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """channel -> (anchors, parts of each shard), from about ``sample`` rows of the smallest hashes."""
+def means_of(rows: np.ndarray, count: int, rounds: int = 6) -> np.ndarray:
+    """Plain k-means."""
+    rng = np.random.default_rng(7)
+    c = rows[rng.choice(len(rows), min(count, len(rows)), replace=False)].copy()
+    for _ in range(rounds):
+        near = np.argmax(2 * rows @ c.T - (c**2).sum(axis=1), axis=1)
+        n = np.bincount(near, minlength=len(c))[:, None]
+        total = np.zeros_like(c)
+        np.add.at(total, near, rows)
+        c = np.where(n > 0, total / np.maximum(n, 1), c).astype(np.float32)
+    return c
+
+
+@dataclass
+class Router:
+    """The shards of one channel: ``coarse`` anchors, each refined by the ``fine`` ones; a shard has ``parts`` cells."""
+
+    coarse: np.ndarray
+    fine: np.ndarray
+    parts: np.ndarray
+    task: np.ndarray  # of each cell
+
+    def __post_init__(self) -> None:
+        self.first = np.concatenate([[0], np.cumsum(self.parts)])
+
+    def near(self, x: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(each vector's own shard, rows and shards of all visits)."""
+        sims = x @ self.coarse.T
+        r, i = np.nonzero(sims >= sims.max(axis=1, keepdims=True) - slack)
+        if len(self.fine) == 1:
+            return sims.argmax(axis=1), r, i
+        # Squared distances to anchor + refinement; two units of similarity are one of squared distance.
+        rest = x[r] - self.coarse[i]
+        far = (rest**2).sum(axis=1)[:, None] - 2 * rest @ self.fine.T + (self.fine**2).sum(axis=1)
+        begin = np.searchsorted(r, np.arange(len(x)))
+        least = np.minimum.reduceat(far.min(axis=1), begin)
+        p, j = np.nonzero(far <= least[r][:, None] + 2 * slack)
+        rows, shard, d = r[p], i[p] * len(self.fine) + j, far[p, j]
+        order = np.lexsort((shard, d, rows))
+        own = np.empty(len(x), np.int64)
+        own[rows[order][::-1]] = shard[order][::-1]  # the nearest is written last
+        return own, rows, shard
+
+
+def _fit(x: np.ndarray, expected: float, shard_rows: int, slack: float, coarse_most: int) -> tuple[Router, np.ndarray]:
+    """The router of one channel without its tasks, and the visits expected in each cell."""
+    shards = max(1, int(np.ceil(expected / shard_rows)))
+    coarse = anchors_of(x, min(shards, coarse_most))
+    fine = np.zeros((1, DIM), np.float32)
+    if shards > len(coarse):
+        rest = x - coarse[np.argmax(x @ coarse.T, axis=1)]
+        fine = means_of(rest, int(np.ceil(shards / len(coarse))))
+    router = Router(coarse, fine, np.ones(len(coarse) * len(fine), np.int32), np.zeros(0, np.int32))
+    own, _, visited = router.near(x, slack)
+    scale = expected / len(x)
+    load = np.bincount(own, minlength=len(router.parts)) * scale
+    visits = np.bincount(visited, minlength=len(router.parts)) * scale + 0.1 * shard_rows
+    router.parts = np.maximum(1, np.ceil(load / MOST_ROWS)).astype(np.int32)
+    router.__post_init__()
+    return router, np.repeat(visits, router.parts)
+
+
+def fit_router(df: DataFrame, channels: dict[str, str], key: str, shard_rows: int = SHARD_ROWS, slack: float = SLACK,
+               sample: int = SAMPLE, coarse_most: int = COARSE) -> dict[str, Router]:
+    """channel -> router, from about ``sample`` rows of the smallest hashes."""
     rows = df.count()
-    share = min(1.0, sample / max(1, rows))
-    picked = df.where(F.pmod(F.xxhash64(F.lit("router"), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000) + 1) \
+    bound = int(min(1.0, sample / max(1, rows)) * (1 << 40)) + 1
+    picked = df.where(F.pmod(F.xxhash64(F.lit("router"), F.col(key)), F.lit(1 << 40)) < bound) \
         .select(key, *channels.values()).limit(2 * sample).toArrow().sort_by(key)  # the same anchors in every run
-    router = {}
+    routers, loads = {}, []
     for name, column in channels.items():
         _, x = _matrix(picked[column])
-        if not len(x):
-            router[name] = np.zeros((0, DIM), np.float32), np.ones(0, np.int32)
-            continue
-        expected = rows * len(x) / max(1, picked.num_rows)
-        c = anchors_of(x, int(min(MAX_ANCHORS, max(1, np.ceil(expected / shard_rows)))))
-        load = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c)) * (expected / len(x))
-        router[name] = c, np.maximum(1, np.ceil(load / (3 * shard_rows))).astype(np.int32)
-    return router
-
-
-def _route(df: DataFrame, channels: dict[str, str], key: str, router: dict, slack: float, k: int) -> DataFrame:
-    """(channel, cell, home, id, v): every vector in its own cell, and as a query in further ones."""
+        if len(x):
+            routers[name], load = _fit(x, rows * len(x) / picked.num_rows, shard_rows, slack, coarse_most)
+            loads.append(load)
+    # Neighbouring cells share a task up to its load; with little data there is still a task for each core.
+    total = sum(float(x.sum()) for x in loads)
+    most = min(TASK_ROWS, max(shard_rows, total / df.sparkSession.sparkContext.defaultParallelism))
+    task, held = 0, 0.0
+    for router, load in zip(routers.values(), loads):
+        router.task = np.empty(len(load), np.int32)
+        for c, n in enumerate(load):
+            if held and held + n > most:
+                task, held = task + 1, 0.0
+            router.task[c] = task
+            held += n
+    return routers
+
+
+def _route(df: DataFrame, channels: dict[str, str], key: str, routers: dict[str, Router], slack: float, k: int, every: int = 1) -> DataFrame:
+    """(task, channel, cell, home, ask, id, v): every vector in its own cell; as a query, of the ids divisible by ``every``, in further ones."""
+    names = [n for n in channels if n in routers]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            every = np.asarray(b.column(b.schema.get_field_index(key)).fill_null(-1)).astype(np.int64)
-            known = np.asarray(b.column(b.schema.get_field_index(key)).is_valid())
-            for name, column in channels.items():
-                anchors, parts = router[name]
-                at, x = _matrix(b.column(b.schema.get_field_index(column)))
-                at, x = at[known[at]], x[known[at]]
-                if not len(at) or not len(anchors):
+            ids, vectors = _ids(b, key), {n: b.column(b.schema.get_field_index(channels[n])) for n in names}
+            for number, name in enumerate(names):
+                router = routers[name]
+                own_ids, x, ask, _ = _asking(*ids, vectors[name], k, every)
+                if not len(own_ids):
                     continue
-                ids = every[at]
-                # Copies: no more than the k + 1 smallest ids of a vector (and of an id, one row).
-                keep = _smallest(ids, x, k + 1)
-                ids, x = ids[keep], x[keep]
-                sims = x @ anchors.T
-                best = sims.argmax(axis=1)
-                first = np.concatenate([[0], np.cumsum(parts)])
-                part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[best]
-                home = first[best] + part
-                near = sims >= sims.max(axis=1, keepdims=True) - slack
-                r, shard = np.nonzero(near)
-                times = parts[shard]
-                r, cell = np.repeat(r, times), np.repeat(first[shard] - np.cumsum(times) + times, times) + np.arange(times.sum())
-                other = cell != home[r]
-                r, cell = np.concatenate([np.arange(len(ids)), r[other]]), np.concatenate([home, cell[other]])
+                own, r, shard = router.near(x, slack)
+                n = router.parts[own]
+                part = (own_ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
+                home = router.first[own] + part
+                times = router.parts[shard]
+                r, cell = np.repeat(r, times), np.repeat(router.first[shard] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                other = (cell != home[r]) & ask[r]
+                r, cell = np.concatenate([np.arange(len(own_ids)), r[other]]), np.concatenate([home, cell[other]])
                 for lo in range(0, len(r), 50_000):
-                    p = r[lo:lo + 50_000]
+                    p, c = r[lo:lo + 50_000], cell[lo:lo + 50_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(p)), pa.array(cell[lo:lo + 50_000].astype(np.int32)),
-                         pa.array(np.arange(lo, lo + len(p)) < len(ids)), pa.array(ids[p]), _binary(x[p])],
-                        names=["channel", "cell", "home", "id", "v"])
+                        [pa.array(router.task[c]), pa.array(np.full(len(p), number, np.int8)), pa.array(c.astype(np.int32)),
+                         pa.array(np.arange(lo, lo + len(p)) < len(own_ids)), pa.array(ask[p]), pa.array(own_ids[p]), _binary(x[p])],
+                        names=["task", "channel", "cell", "home", "ask", "id", "v"])
+
+    return df.select(key, *channels.values()).mapInArrow(
+        run, "task int, channel byte, cell int, home boolean, ask boolean, id bigint, v binary")
+
+
+def _ids(b: pa.RecordBatch, key: str) -> tuple[np.ndarray, np.ndarray]:
+    column = b.column(b.schema.get_field_index(key))
+    return np.asarray(column.fill_null(-1)).astype(np.int64), np.asarray(column.is_valid())
 
-    return df.select(key, *channels.values()).mapInArrow(run, "channel string, cell int, home boolean, id bigint, v binary")
+
+def _asking(ids: np.ndarray, known: np.ndarray, column: pa.Array, k: int, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(ids, vectors, which of them ask, [(copy, twin)]) of a batch.
+
+    Of copies no more than the k + 1 smallest ids go on (and of an id, one row); an asking copy that is left out
+    gets its answer from its twin, the smallest id, which then asks too.
+    """
+    at, x = _matrix(column)
+    at, x = at[known[at]], x[known[at]]
+    ids = ids[at]
+    if not len(ids):
+        return ids, x, np.zeros(0, bool), []
+    keep = _smallest(ids, x, k + 1)
+    ask = ids[keep] % every == 0
+    lost = np.flatnonzero(~np.isin(ids, ids[keep]) & (ids % every == 0))
+    twins = []
+    if len(lost):
+        first = {x[i].tobytes(): (ids[i], p) for p, i in sorted(enumerate(keep), key=lambda e: -ids[e[1]])}
+        for i in lost:
+            twin = first.get(x[i].tobytes())
+            if twin:
+                ask[twin[1]] = True
+                twins.append((int(ids[i]), int(twin[0])))
+    return ids[keep], x[keep], ask, twins
+
+
+def _by_cell(routed: DataFrame, routers: dict[str, Router], work: Callable, schema: str) -> DataFrame:
+    """Runs ``work(channel, ids, home, ask, vectors) -> table`` on every cell, one packed task after another."""
+    names = list(routers)
+    tasks = 1 + max((int(r.task[-1]) for r in routers.values()), default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        x = np.frombuffer(b"".join(v for c in t["v"].chunks for v in _bytes(c)), dtype=np.float32).reshape(-1, DIM)
+        channel, cell = np.asarray(t["channel"]), np.asarray(t["cell"])
+        ids, home, ask = np.asarray(t["id"]), np.asarray(t["home"]), np.asarray(t["ask"])
+        order = np.lexsort((ids, cell, channel))
+        cuts = np.flatnonzero((np.diff(cell[order]) != 0) | (np.diff(channel[order]) != 0)) + 1
+        for rows in np.split(order, cuts):
+            yield from work(names[channel[rows[0]]], ids[rows], home[rows], ask[rows], x[rows]).to_batches()
+
+    return routed.repartitionById(tasks, "task").mapInArrow(run, schema)
+
+
+def _bytes(column: pa.Array) -> list[memoryview]:
+    """The values of a binary column of equal lengths, as one piece."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[column.offset:column.offset + len(column) + 1]
+    return [memoryview(data)[int(ends[0]):int(ends[-1])]]
 
 
 def _smallest(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
@@ -355,13 +484,8 @@ def _smallest(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
     return np.sort(order[rank < most])
 
 
-def _cell_pairs(table: pa.Table, k: int, min_sim: float) -> pa.Table:
+def _cell_pairs(name: str, ids: np.ndarray, home: np.ndarray, x: np.ndarray, k: int, min_sim: float) -> pa.Table:
     """Pairs of similar vectors that one cell's graph finds."""
-    ids = np.asarray(table["id"])
-    home = np.asarray(table["home"])
-    data = table["v"].combine_chunks()
-    data = data if isinstance(data, pa.Array) else data.chunk(0)
-    x = np.frombuffer(b"".join(data.to_pylist()), dtype=np.float32).reshape(-1, DIM)
     keep = np.flatnonzero(home)
     keep = keep[_smallest(ids[keep], x[keep], k + 1)] if len(keep) else keep
     own, own_x = ids[keep], x[keep]
@@ -404,23 +528,19 @@ def _cell_pairs(table: pa.Table, k: int, min_sim: float) -> pa.Table:
     b = np.concatenate(out_b) if out_b else np.empty(0, np.int64)
     ok = (a != b) & (sim >= min_sim)
     a, b, sim = np.minimum(a, b)[ok], np.maximum(a, b)[ok], sim[ok]
-    name = table["channel"][0].as_py()
     return pa.table({"channel": pa.array([name] * len(a), pa.string()), "vec_a": a, "vec_b": b, "similarity": sim})
 
 
 def similar_pairs(df: DataFrame, channels: dict[str, str], key: str = "vec_id", k: int = 5, min_sim: float = 0.9,
-                  slack: float = SLACK, shard_rows: int = SHARD_ROWS) -> DataFrame:
+                  slack: float = SLACK, shard_rows: int = SHARD_ROWS, coarse_most: int = COARSE) -> DataFrame:
     """(channel, vec_a < vec_b, similarity): distinct pairs of at least ``min_sim`` found by the graphs.
 
     Complete for each vector's ``k`` nearest up to the measured recall.
     """
-    router = fit_router(df, channels, key, shard_rows)
-    routed = _route(df, channels, key, router, slack, k)
-    # About one cell for a task, whatever the session's number of partitions: cells are bounded, tasks then are too.
-    cells = sum(int(parts.sum()) for _, parts in router.values())
-    spread = routed.repartition(max(shuffle_partitions(df.sparkSession), cells), "channel", "cell")
-    found = spread.groupBy("channel", "cell").applyInArrow(
-        lambda t: _cell_pairs(t, k, min_sim - 1e-6), "channel string, vec_a bigint, vec_b bigint, similarity double")
+    routers = fit_router(df, channels, key, shard_rows, slack, coarse_most=coarse_most)
+    routed = _route(df, channels, key, routers, slack, k)
+    found = _by_cell(routed, routers, lambda name, ids, home, ask, x: _cell_pairs(name, ids, home, x, k, min_sim - 1e-6),
+                     "channel string, vec_a bigint, vec_b bigint, similarity double")
     return found.groupBy("channel", "vec_a", "vec_b").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= min_sim - 1e-9)
 
 
@@ -463,10 +583,8 @@ def _best(index: np.ndarray, q: np.ndarray, most: int) -> tuple[np.ndarray, np.n
     return rows, sims
 
 
-def _cell_nearest(table: pa.Table, k: int) -> pa.Table:
-    """The k most similar vectors of one cell for each of its vectors and guests."""
-    ids, home = np.asarray(table["id"]), np.asarray(table["home"])
-    x = np.frombuffer(b"".join(table["v"].to_pylist()), dtype=np.float32).reshape(-1, DIM)
+def _cell_nearest(name: str, ids: np.ndarray, home: np.ndarray, ask: np.ndarray, x: np.ndarray, k: int, ef: int | None) -> pa.Table:
+    """The k most similar vectors of one cell for each of its asking vectors and guests; ``ef``: width of the graph's search, None: compare with all."""
     every = np.flatnonzero(home)
     keep = every[_smallest(ids[every], x[every], k + 1)] if len(every) else every
     out = {"channel": pa.array([], pa.string()), "id": pa.array([], pa.int64()),
@@ -481,12 +599,20 @@ def _cell_nearest(table: pa.Table, k: int) -> pa.Table:
     members = np.full((len(first), int(size.max())), -1, np.int64)  # places in keep
     members[np.repeat(np.arange(len(first)), size), np.arange(len(order)) - np.repeat(begin[:-1], size)] = order
     # Repeated rows of an id ask once.
-    asks = np.unique(ids, return_index=True)[1]
-    nodes, sims = _best(x[keep][first], x[asks], k + 1)
+    asks = np.flatnonzero(ask)
+    asks = asks[np.unique(ids[asks], return_index=True)[1]]
+    if not len(asks):
+        return pa.table(out)
+    if ef is None:
+        nodes, sims = _best(x[keep][first], x[asks], k + 1)
+    else:
+        nodes, sims = Graph(x[keep][first]).search(x[asks], ef)
+        nodes, sims = nodes[:, :k + 1].astype(np.int64), sims[:, :k + 1]
     blocks = []
     for lo in range(0, len(asks), 20_000):
         own = ids[asks[lo:lo + 20_000]]
-        place = members[nodes[lo:lo + 20_000]].reshape(len(own), -1)
+        found = nodes[lo:lo + 20_000]
+        place = np.where(found[:, :, None] >= 0, members[found], -1).reshape(len(own), -1)
         far = -np.repeat(sims[lo:lo + 20_000], members.shape[1], axis=1).round(6)
         other = ids[keep][place]
         far[(place < 0) | (other == own[:, None])] = 9
@@ -495,45 +621,35 @@ def _cell_nearest(table: pa.Table, k: int) -> pa.Table:
         real = far < 9
         near = pa.StructArray.from_arrays([pa.array(far[real], pa.float32()), pa.array(other[real], pa.int64())], ["far", "neighbour"])
         ends = np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32)
-        blocks.append(pa.table({"channel": pa.array([table["channel"][0].as_py()] * len(own)), "id": own, "near": pa.ListArray.from_arrays(pa.array(ends), near)}))
+        blocks.append(pa.table({"channel": pa.array([name] * len(own)), "id": own, "near": pa.ListArray.from_arrays(pa.array(ends), near)}))
     return pa.concat_tables(blocks)
 
 
-def _left_out(df: DataFrame, channels: dict[str, str], key: str, k: int) -> DataFrame:
-    """(channel, id, twin): the copies that routing doesn't forward, with a forwarded one of the same vector."""
+def _left_out(df: DataFrame, channels: dict[str, str], key: str, k: int, every: int) -> DataFrame:
+    """(channel, id, twin): the asking copies that routing doesn't forward, with a forwarded one of the same vector."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            every = np.asarray(b.column(b.schema.get_field_index(key)).fill_null(-1)).astype(np.int64)
-            known = np.asarray(b.column(b.schema.get_field_index(key)).is_valid())
             for name, column in channels.items():
-                at, x = _matrix(b.column(b.schema.get_field_index(column)))
-                at, x = at[known[at]], x[known[at]]
-                if not len(at):
-                    continue
-                ids = every[at]
-                keep = _smallest(ids, x, k + 1)
-                lost = np.flatnonzero(~np.isin(ids, ids[keep]))
-                twin = {x[i].tobytes(): ids[i] for i in keep[np.argsort(-ids[keep])]} if len(lost) else {}
-                lost = [i for i in lost if x[i].tobytes() in twin]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lost), pa.string()), pa.array(ids[lost].astype(np.int64) if lost else [], pa.int64()),
-                                                  pa.array([twin[x[i].tobytes()] for i in lost], pa.int64())], names=["channel", "id", "twin"])
+                twins = _asking(*_ids(b, key), b.column(b.schema.get_field_index(column)), k, every)[3]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(twins), pa.string()), pa.array([c for c, _ in twins], pa.int64()),
+                                                  pa.array([t for _, t in twins], pa.int64())], names=["channel", "id", "twin"])
 
     return df.select(key, *channels.values()).mapInArrow(run, "channel string, id bigint, twin bigint")
 
 
 def all_nearest(df: DataFrame, channels: dict[str, str], key: str = "vec_id", k: int = 5, slack: float = WIDE_SLACK,
-                shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(channel, id, neighbour, similarity, rank): every vector's ``k`` most similar, however far, ties to the smaller id.
+                shard_rows: int = WIDE_SHARD_ROWS, every: int = 1, ef: int | None = None) -> DataFrame:
+    """(channel, id, neighbour, similarity, rank): the ``k`` most similar, however far, of the ids divisible by ``every``; ties to the smaller id.
 
-    A vector is compared with all vectors of the shards it visits, so only unvisited shards cost recall.
+    All vectors are indexed. Without ``ef`` a vector is compared with all vectors of the shards it visits, so only
+    unvisited shards cost recall; with it, their graphs are searched at that width.
     """
-    router = fit_router(df, channels, key, shard_rows)
-    routed = _route(df, channels, key, router, slack, k)
-    cells = sum(int(parts.sum()) for _, parts in router.values())
-    spread = routed.repartition(max(shuffle_partitions(df.sparkSession), cells), "channel", "cell")
+    routers = fit_router(df, channels, key, shard_rows, slack)
+    routed = _route(df, channels, key, routers, slack, k, every)
     shape = "array<struct<far: float, neighbour: bigint>>"
-    found = spread.groupBy("channel", "cell").applyInArrow(lambda t: _cell_nearest(t, k), f"channel string, id bigint, near {shape}")
-    lost = _left_out(df, channels, key, k)
+    found = _by_cell(routed, routers, lambda name, ids, home, ask, x: _cell_nearest(name, ids, home, ask, x, k, ef),
+                     f"channel string, id bigint, near {shape}")
+    lost = _left_out(df, channels, key, k, every)
     more = not lost.isEmpty()
     if more:
         found = found.withColumn("copy", F.lit(None).cast("bigint")).unionByName(
@@ -545,6 +661,7 @@ def all_nearest(df: DataFrame, channels: dict[str, str], key: str = "vec_id", k:
         whole = F.array_sort(F.concat("near", F.array(F.struct(F.lit(-1.0).cast("float").alias("far"), F.col("id").alias("neighbour")))))
         lists = lists.select("channel", "id", "near").unionByName(
             lists.select("channel", F.explode("copies").alias("id"), whole.alias("near")))
+        lists = lists.where(F.col("id") % every == 0)
         lists = lists.withColumn("near", F.filter("near", lambda n: n["neighbour"] != F.col("id"))).withColumn("near", F.slice("near", 1, k)).distinct()
     return lists.select("channel", "id", F.posexplode(F.slice("near", 1, k)).alias("at", "n")).select(
         "channel", "id", F.col("n.neighbour").alias("neighbour"), (-F.col("n.far").cast("double")).alias("similarity"), (F.col("at") + 1).alias("rank"))
