@@ -153,6 +153,17 @@ def test_neighbours_recall_and_dirt(spark):
     got = {(a, b) for _, a, b in rows_of(neighbours.mutual(neighbours.similar_pairs(df, {"c": "emb"}, shard_rows=300)))}
     want = brute_mutual(list(range(len(x))), x, 5, 0.9)
     assert len(want & got) / len(want) >= 0.95 and len(want & got) / len(got) >= 0.95
+    two = {(a, b) for _, a, b in rows_of(neighbours.mutual(neighbours.similar_pairs(df, {"c": "emb"}, shard_rows=60, coarse_most=4, slack=0.1)))}
+    assert len(want & two) / len(want) >= 0.95 and len(want & two) / len(two) >= 0.95  # anchors in two levels
+
+
+def test_search_returns_a_node_once():
+    x = np.random.default_rng(4).normal(size=(1200, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found, _ = neighbours.Graph(x).search(x[:200], 100)
+    assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in found)
+    best = np.argsort(-(x[:200] @ x.T), axis=1)[:, :5]
+    assert np.mean([len(set(a[:5]) & set(b)) / 5 for a, b in zip(found.tolist(), best.tolist())]) > 0.95
 
 
 def test_neighbours_copies_and_empty(spark):
@@ -179,6 +190,11 @@ def test_every_vector_gets_its_neighbours(spark):
     split = [(i, j) for _, i, j, _, _ in neighbours.all_nearest(df, {"c": "emb"}, shard_rows=60).collect()]
     assert len(split) == len(set(split)) and {i for i, _ in split} == set(range(len(x)))
     assert len({(i, j) for i, j, _ in want} & set(split)) / len(want) >= 0.9  # 25 shards
+    # Every tenth as a query, copies among them, in the graphs.
+    some = [(i, j, r) for _, i, j, _, r in neighbours.all_nearest(df, {"c": "emb"}, every=10, ef=60).collect()]
+    asked = {w for w in want if w[0] % 10 == 0}
+    assert len(some) == len(asked) and {i for i, _, _ in some} == {i for i, _, _ in asked}
+    assert len({(i, j) for i, j, _ in asked} & {(i, j) for i, j, _ in some}) / len(asked) >= 0.95
     assert neighbours.all_nearest(df.limit(0), {"c": "emb"}).count() == 0
     assert neighbours.all_nearest(df.limit(1), {"c": "emb"}).count() == 0
 

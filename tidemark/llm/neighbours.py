@@ -44,9 +44,11 @@ SLACK = 0.03
 WIDE_SLACK = 0.22
 #: Rows of a shard for ``all_nearest``: far neighbours need larger ones.
 WIDE_SHARD_ROWS = 16_000
+#: Width of a graph's search for far neighbours.
+EF_WIDE = 100
 LINKS = 8
-EF_BUILD = 24
-EF_SEARCH = 20
+EF_BUILD = 16
+EF_SEARCH = 16
 CHUNK = 1024
 #: Cells of the table of seen nodes that a search may hold.
 SEEN_CELLS = 1 << 25
@@ -172,9 +174,14 @@ class Graph:
                 score[each, second] = -4
                 near = np.concatenate([np.where(ok1[:, None], graph[ids[each, first]], -1),
                                        np.where(ok2[:, None], graph[ids[each, second]], -1)], axis=1)
-                at = base[:, None] + np.where(near < 0, n, near)
-                fresh = np.flatnonzero(~seen[at.ravel()])
-                seen[at.ravel()[fresh]] = True
+                # One after the other, so that a node both link to comes in once.
+                fresh = []
+                for half in (0, width):
+                    at = (base[:, None] + np.where(near[:, half:half + width] < 0, n, near[:, half:half + width])).ravel()
+                    new = np.flatnonzero(~seen[at])
+                    seen[at[new]] = True
+                    fresh.append(new // width * (2 * width) + half + new % width)
+                fresh = np.concatenate(fresh)
                 r, node = fresh // (2 * width), near.ravel()[fresh]
                 got = np.einsum("ij,ij->i", part[r], x[node])
                 new = np.full(near.size, -2.0, dtype=np.float32)
@@ -233,6 +240,8 @@ class Graph:
         extra[group[keep], place[keep]] = source[keep]
         extra_s[group[keep], place[keep]] = sim[keep]
         old = graph[nodes]
+        extra[(extra[:, :, None] == old[:, None, :]).any(axis=2)] = -1
+        extra_s[extra < 0] = -2.0
         free = (old < 0).sum(axis=1)
         more = (extra >= 0).sum(axis=1)
         roomy = free >= more

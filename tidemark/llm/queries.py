@@ -62,6 +62,12 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.all_nearest(table(spark, d, "videoindex"), CHANNELS).withColumnRenamed("id", "vec_id")
 
 
+def p5_search(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every vector whose id is divisible by 100, searched in the graphs over all vectors."""
+    return neighbours.all_nearest(table(spark, d, "videoindex"), CHANNELS, slack=0.25, shard_rows=4_000, every=100, ef=neighbours.EF_WIDE) \
+        .withColumnRenamed("id", "vec_id")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -89,7 +95,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_source_shares, p2_found, p2_assigned, p4_found, p4_stretches, p5_found, p5_neighbours, p6_ids, p7_found, p7_leaked_items,
+        p1_found, p1_source_shares, p2_found, p2_assigned, p4_found, p4_stretches, p5_found, p5_neighbours, p5_search, p6_ids, p7_found, p7_leaked_items,
         p8_found, p8_restored)}
 
 
