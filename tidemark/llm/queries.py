@@ -64,7 +64,7 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_search(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest of every vector whose id is divisible by 100, searched in the graphs over all vectors."""
-    return neighbours.all_nearest(table(spark, d, "videoindex"), CHANNELS, slack=0.25, shard_rows=4_000, every=100, ef=neighbours.EF_WIDE) \
+    return neighbours.all_nearest(table(spark, d, "videoindex"), CHANNELS, slack=0.25, shard_rows=2_000, every=100, ef=neighbours.EF_WIDE) \
         .withColumnRenamed("id", "vec_id")
 
 
