@@ -10,7 +10,8 @@ of n bytes takes O(n log n) however long it is.
 Pieces recur, so every worker remembers the ids of short pieces, up to a fixed number of them.
 
 Defined results: null and empty texts give an empty list; blanks are encoded as they are; the
-strings of special tokens are ordinary text; repeated rows of a key give one row.
+strings of special tokens are ordinary text; equal rows of a key give one row, a key with several
+texts one for each. The vocabulary is read on the driver's side and shipped to the executors.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 VOCABULARY = os.environ.get("TIDEMARK_BPE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -114,10 +116,12 @@ def encoder(path: str) -> Encoder:
 
 def encode(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
     """(key, ids) for the distinct (key, text) rows."""
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
     rows = df.select(key, text).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path)
+        e = encoder(SparkFiles.get(name))
         for b in batches:
             yield pd.DataFrame({key: b[key], "ids": pd.Series([e.encode(t) for t in b[text]], index=b.index, dtype=object)})
 
