@@ -346,7 +346,7 @@ class Router:
         return own, rows, shard
 
 
-def _fit(x: np.ndarray, expected: float, shard_rows: int, slack: float, coarse_most: int) -> tuple[Router, np.ndarray]:
+def _fit(x: np.ndarray, expected: float, shard_rows: int, slack: float, coarse_most: int, every: int) -> tuple[Router, np.ndarray]:
     """The router of one channel without its tasks, and the visits expected in each cell."""
     shards = max(1, int(np.ceil(expected / shard_rows)))
     coarse = anchors_of(x, min(shards, coarse_most))
@@ -358,14 +358,15 @@ def _fit(x: np.ndarray, expected: float, shard_rows: int, slack: float, coarse_m
     own, _, visited = router.near(x, slack)
     scale = expected / len(x)
     load = np.bincount(own, minlength=len(router.parts)) * scale
-    visits = np.bincount(visited, minlength=len(router.parts)) * scale + 0.1 * shard_rows
+    # Of all vectors at home, and as guests of those that ask.
+    visits = load + (np.bincount(visited, minlength=len(router.parts)) * scale - load) / every + 0.1 * shard_rows
     router.parts = np.maximum(1, np.ceil(load / MOST_ROWS)).astype(np.int32)
     router.__post_init__()
     return router, np.repeat(visits, router.parts)
 
 
 def fit_router(df: DataFrame, channels: dict[str, str], key: str, shard_rows: int = SHARD_ROWS, slack: float = SLACK,
-               sample: int = SAMPLE, coarse_most: int = COARSE) -> dict[str, Router]:
+               sample: int = SAMPLE, coarse_most: int = COARSE, every: int = 1) -> dict[str, Router]:
     """channel -> router, from about ``sample`` rows of the smallest hashes."""
     rows = df.count()
     bound = int(min(1.0, sample / max(1, rows)) * (1 << 40)) + 1
@@ -375,7 +376,7 @@ def fit_router(df: DataFrame, channels: dict[str, str], key: str, shard_rows: in
     for name, column in channels.items():
         _, x = _matrix(picked[column])
         if len(x):
-            routers[name], load = _fit(x, rows * len(x) / picked.num_rows, shard_rows, slack, coarse_most)
+            routers[name], load = _fit(x, rows * len(x) / picked.num_rows, shard_rows, slack, coarse_most, every)
             loads.append(load)
     # Neighbouring cells share a task up to its load; with little data there is still a task for each core.
     total = sum(float(x.sum()) for x in loads)
@@ -653,7 +654,7 @@ def all_nearest(df: DataFrame, channels: dict[str, str], key: str = "vec_id", k:
     All vectors are indexed. Without ``ef`` a vector is compared with all vectors of the shards it visits, so only
     unvisited shards cost recall; with it, their graphs are searched at that width.
     """
-    routers = fit_router(df, channels, key, shard_rows, slack)
+    routers = fit_router(df, channels, key, shard_rows, slack, every=every)
     routed = _route(df, channels, key, routers, slack, k, every)
     shape = "array<struct<far: float, neighbour: bigint>>"
     found = _by_cell(routed, routers, lambda name, ids, home, ask, x: _cell_nearest(name, ids, home, ask, x, k, ef),
