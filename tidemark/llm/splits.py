@@ -1,8 +1,9 @@
 """Splits that keep related records together: components, then largest-differencing balance.
 
 Components. Videos that share a present value of a key belong together, also through further
-videos. Every key value links its videos to a deputy for each of ``DEPUTIES`` hash parts and
-the deputies to one representative, so no value's links meet in one place. The smallest label then
+videos. Every key value links its videos to a deputy for each hash part (``DEPUTIES`` parts at least,
+one for ``PART_ROWS`` rows of the table) and the deputies to one representative, so no value's links
+meet in one place, whatever share of the rows carries it. The smallest label then
 spreads over the links by grouped minima, with pointer jumping (a label is replaced by the
 label's own label), until nothing changes; each round's labels are checkpointed.
 
@@ -11,6 +12,8 @@ differencing: each weight starts as a tuple of bins with one filled; the two tup
 spread are combined, the fullest bin of one with the emptiest of the other, until one tuple is left.
 This runs in hash buckets of about ``BUCKET_ROWS`` components; the buckets' tuples are combined in
 the same way, ``FAN_IN`` at a time. Whole bins then go to the split that misses its share by most.
+A group is ``torn`` if its records carry two or more splits at present; the assignment says so beside
+the split that mends it.
 
 Defined results: missing key values, however spelled, relate nothing; identifiers are compared
 without case, surrounding blanks and file ending; a record of an unknown entity forms its own group,
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from tidemark.session import cut_lineage
 
 DEPUTIES = 64
+PART_ROWS = 100_000
 BINS = 64
 BUCKET_ROWS = 20_000
 FAN_IN = 64
@@ -63,7 +67,7 @@ def components(entities: DataFrame, entity: str, keys: list[str]) -> DataFrame:
     values = rows.select("node", F.explode(F.array(*[
         F.struct(F.lit(i).alias("kind"), F.col(f"k{i}").alias("value")) for i in range(len(keys))])).alias("k")) \
         .select("node", "k.kind", "k.value").where(F.col("value").isNotNull()).distinct()
-    part = F.pmod(F.xxhash64("node"), F.lit(DEPUTIES))
+    part = F.pmod(F.xxhash64("node"), F.lit(max(DEPUTIES, entities.count() // PART_ROWS)))
     parts = values.groupBy("kind", "value", part.alias("part")).agg(F.min("node").alias("deputy"))
     heads = parts.groupBy("kind", "value").agg(F.min("deputy").alias("head"), F.count("*").alias("n"))
     up = parts.join(heads, ["kind", "value"]).select(F.col("deputy").alias("a"), F.col("head").alias("b"))
@@ -94,12 +98,6 @@ def grouped(records: DataFrame, entities: DataFrame, record: str, entity: str, k
     return own.join(found, "node", "left").select("record", "split", F.coalesce("component", F.concat(F.lit("?"), "node")).alias("component"))
 
 
-def torn(groups: DataFrame) -> DataFrame:
-    """(record): the records of groups that carry two or more splits."""
-    bad = groups.groupBy("component").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi").select("component")
-    return groups.join(bad, "component", "left_semi").select("record").distinct()
-
-
 def difference(tuples: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Largest differencing: (loads of the bins, for each tuple the bin that each of its places went to)."""
     k = len(tuples[0])
@@ -171,9 +169,12 @@ def bins_of(weights: DataFrame, bins: int = BINS, bucket_rows: int = BUCKET_ROWS
 
 
 def assign(groups: DataFrame, targets: DataFrame, bins: int = BINS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(record, split): every record gets its group's split, near the shares of targets(split, share)."""
-    weights = groups.select("record", "component").distinct().groupBy("component").agg(F.count("*").cast("double").alias("weight"))
-    placed = bins_of(weights, bins, bucket_rows)
+    """(record, component, split, torn): every record gets its group's split, near the shares of targets(split, share)."""
+    # Rows of one record with different splits count once in the weight.
+    records = groups.groupBy("component", "record").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
+    weights = cut_lineage(records.groupBy("component").agg(
+        F.count("*").cast("double").alias("weight"), F.coalesce(F.min("lo") < F.max("hi"), F.lit(False)).alias("torn")))
+    placed = bins_of(weights.select("component", "weight"), bins, bucket_rows)
     loads = placed.groupBy("bin").agg(F.sum("weight").alias("load")).collect()  # ``bins`` rows
     shares = {r.split: float(r.share) for r in targets.select("split", "share").distinct().collect()}
     total = sum(r.load for r in loads)
@@ -183,7 +184,21 @@ def assign(groups: DataFrame, targets: DataFrame, bins: int = BINS, bucket_rows:
         s = max(sorted(missing), key=lambda s: missing[s])
         missing[s] -= r.load
         chosen.append((r.bin, s))
-    spark = groups.sparkSession
-    to = spark.createDataFrame(chosen, "bin int, split string")
-    whole = placed.join(F.broadcast(to), "bin").select("component", "split")
-    return groups.select("record", "component").distinct().join(whole, "component").select("record", "split")
+    to = groups.sparkSession.createDataFrame(chosen, "bin int, split string")
+    whole = placed.join(F.broadcast(to), "bin").select("component", "split").join(weights.select("component", "torn"), "component")
+    return records.select("record", "component").join(whole, "component").select("record", "component", "split", "torn")
+
+
+def shares(assigned: DataFrame, targets: DataFrame, bins: int = BINS) -> DataFrame:
+    """(split, within): whether a split's share of the records misses its target by no more than a bin and the largest group."""
+    every = assigned.select("record", "component", "split").distinct()
+    largest = every.groupBy("component").count().agg(F.max("count").alias("largest"))
+    total = every.agg(F.count("*").alias("total"))
+    own = every.groupBy("split").agg(F.count("*").alias("n"))
+    want = targets.select("split", "share").distinct()
+    whole = want.agg(F.sum("share").alias("whole"))
+    return (
+        want.join(own, "split", "left").crossJoin(F.broadcast(largest)).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(whole))  # one row each
+        .select("split", (F.abs(F.coalesce("n", F.lit(0)) - F.col("share") / F.col("whole") * F.col("total"))
+                          <= F.greatest(F.col("largest"), F.col("total") / bins) + 1).alias("within"))
+    )
