@@ -84,11 +84,6 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-def p7_near(spark: SparkSession, d: str) -> DataFrame:
-    """Also passages with one word put in, left out or changed."""
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=1)
-
-
 def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
@@ -108,7 +103,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_source_shares, p2_found, p2_assigned, p2_shares, p4_found, p4_stretches, p5_found, p5_neighbours, p5_search, p6_ids, p7_found, p7_near, p7_leaked_items,
+        p1_found, p1_source_shares, p2_found, p2_assigned, p2_shares, p4_found, p4_stretches, p5_found, p5_neighbours, p5_search, p6_ids, p7_found, p7_leaked_items,
         p8_found, p8_restored)}
 
 
