@@ -48,6 +48,13 @@ class Dialect:
         return (f"(CAST(conv(substr(md5({text}), 1, 8), 16, 10) AS BIGINT) % {mod})" if self.spark
                 else f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % {mod})")
 
+    def poisson(self, *parts: str) -> str:
+        """How often a row is drawn in a bootstrap replicate: a Poisson number of mean 1, from a hash of the parts."""
+        # The distribution function of the Poisson law of mean 1, times 2^32.
+        steps = (1580030169, 3160060337, 3950075421, 4213413783, 4278998373, 4292115291, 4294301444, 4294613751)
+        at = self.draw("4294967296", *parts)
+        return "(" + " + ".join(f"CASE WHEN {at} >= {x} THEN 1 ELSE 0 END" for x in steps) + ")"
+
     def rx(self, c: str, p: str) -> str:
         return f"({c} RLIKE r'{p}')" if self.spark else f"regexp_matches({c}, '{p}')"
 
@@ -112,6 +119,29 @@ def register(builders: dict[str, Builder]) -> tuple[dict, dict[str, str]]:
     return {n: spark_query(b) for n, b in builders.items()}, {n: b(Dialect(False)) for n, b in builders.items()}
 
 
+# The scripts that count as foreign in a caption.
+FOREIGN = "一-鿿぀-ヿ"
+
+
+def corrupted(D: Dialect, c: str) -> str:
+    """Three foreign letters, more than a fifth of them, a phrase of 3 to 20 characters three times in a row, or a word that is
+    more than 40 % of at least six."""
+    n = f"length({D.rep(c, f'[^{FOREIGN}]')})"
+    if D.spark:
+        phrase = f"{c} RLIKE r'(?s)(.{{3,20}}?)\\1{{2,}}'"
+    else:
+        # The check engine's patterns can't refer back: every place is compared with what follows it.
+        phrase = (f"len(list_filter(range(1, length({c}) + 1), lambda p: len(list_filter(range(3, 21), lambda k: p + 3 * k - 1 <= length({c}) AND "
+                  f"substring({c}, p, k) = substring({c}, p + k, k) AND substring({c}, p, k) = substring({c}, p + 2 * k, k) "
+                  f"AND NOT contains(substring({c}, p, k), chr(10)))) > 0)) > 0")
+    words = D.words(c)
+    if D.spark:
+        most = f"coalesce(array_max(transform(array_distinct({words}), d -> size(filter({words}, w -> w = d)))), 0)"
+    else:
+        most = f"coalesce(list_max(list_transform(list_distinct({words}), lambda d: len(list_filter({words}, lambda w: w = d)))), 0)"
+    return f"coalesce({c} <> '' AND ({n} >= 3 OR {n} > 0.2e0 * length({c}) OR {phrase} OR ({D.size(words)} >= 6 AND {most} > 0.4e0 * {D.size(words)})), false)"
+
+
 # Shared sources; repeated rows of a key are one row.
 
 def seg(D: Dialect) -> str:
@@ -132,18 +162,28 @@ def inv(D: Dialect) -> str:
     return (f"inv AS (SELECT DISTINCT video_id, event_no, event, start_sec AS s, end_sec AS e, span, seg_idx FROM {D.t('frozen_kheritage_grave_excavation')})")
 
 
+def index(D: Dialect, queried: bool = False) -> str:
+    """vi, vn: the usable vectors, one row of a vec_id, without and with norms; ``queried``: only of videos that have queries."""
+    only = "AND video_id IN (SELECT video_id FROM qry)" if queried else ""
+    return f"""vi AS (SELECT vec_id, max(video_id) AS video_id, max(idx) AS idx, any_value(emb_sub) AS es, any_value(emb_cap) AS ec,
+       coalesce(bool_or(static_mask), false) AS mask FROM {D.t('videoindex')}
+       WHERE {D.size('emb_cap')} = 64 AND (emb_sub IS NULL OR {D.size('emb_sub')} = 64) {only} GROUP BY vec_id),
+vn AS (SELECT *, sqrt({D.dot('ec', 'ec')}) AS nc, sqrt({D.dot('es', 'es')}) AS ns FROM vi)"""
+
+
 def scores(D: Dialect) -> str:
     """sc: both channels' cosine of every query against the segments of its own video.
 
-    The stand-in for a query's vector is the caption vector behind its first true segment.
+    The stand-in for a query's vector is the caption vector of its first true segment that is indexed; a query without one
+    takes that of the video's first indexed segment and has no right answer there (rank 0).
     """
-    unit = lambda v: f"sqrt({D.dot(v, v)})"
-    return f"""{qry(D)},
-vi AS (SELECT DISTINCT vec_id, video_id, idx, emb_sub AS es, emb_cap AS ec, coalesce(static_mask, false) AS mask FROM {D.t('videoindex')}
-       WHERE {D.size('emb_cap')} = 64 AND (emb_sub IS NULL OR {D.size('emb_sub')} = 64)),
-vn AS (SELECT *, {unit('ec')} AS nc, {unit('es')} AS ns FROM vi),
-qv AS (SELECT q.query_id, q.video_id, q.query_type, q.split, q.gt, v.ec AS qe, v.nc AS qn FROM qry q JOIN vn v ON v.video_id = q.video_id AND v.idx = {D.at('q.gt', 0)} + 1
-       WHERE q.query_id IS NOT NULL AND {D.size('q.gt')} > 0),
+    return f"""{qry(D)}, {index(D, True)},
+q1 AS (SELECT query_id, video_id, query_type, split, gt FROM qry WHERE query_id IS NOT NULL AND {D.size('gt')} > 0),
+tr AS (SELECT g.query_id, min(g.i) AS i FROM (SELECT query_id, video_id, i FROM {D.each('q1', 'gt', 'i')}) g
+       JOIN (SELECT video_id, idx FROM vi) k ON k.video_id = g.video_id AND k.idx = g.i GROUP BY g.query_id),
+lo AS (SELECT video_id, min(idx) AS i FROM vi GROUP BY video_id),
+qp AS (SELECT q1.*, coalesce(tr.i, lo.i) AS place FROM q1 JOIN lo ON lo.video_id = q1.video_id LEFT JOIN tr ON tr.query_id = q1.query_id),
+qv AS (SELECT q.query_id, q.video_id, q.query_type, q.split, q.gt, v.ec AS qe, v.nc AS qn FROM qp q JOIN vn v ON v.video_id = q.video_id AND v.idx = q.place),
 sc AS (SELECT q.query_id, q.video_id, q.query_type, q.split, v.idx, v.mask, {D.has('q.gt', 'v.idx')} AS good,
        round(coalesce({D.dot('v.es', 'q.qe')} / nullif(v.ns * q.qn, 0e0), 0e0), 9) AS ss,
        round(coalesce({D.dot('v.ec', 'q.qe')} / nullif(v.nc * q.qn, 0e0), 0e0), 9) AS sp

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans.dialect import Dialect, minmax, paired, ranked, register, scores, seg, zscore
+from tidemark.plans.dialect import Dialect, corrupted, index, minmax, paired, ranked, register, scores, seg, zscore
 
 
 def top(D: Dialect, score: str, k: int = 10) -> str:
@@ -10,6 +10,14 @@ def top(D: Dialect, score: str, k: int = 10) -> str:
             f"FROM (SELECT query_id, idx, round({score}, 8) AS v FROM src) a) b WHERE r <= {k}")
 
 
+def variants(D: Dialect) -> str:
+    """vc: scores of every variant of a query."""
+    return f"""{scores(D)}, vq AS (SELECT g.query_id, g.video_id, g.i AS variant, v.ec AS qe, v.nc AS qn
+        FROM (SELECT query_id, video_id, i FROM {D.each('q1', 'gt', 'i')}) g JOIN vn v ON v.video_id = g.video_id AND v.idx = g.i),
+        vc AS (SELECT q.query_id, q.variant, v.idx, v.mask, round(coalesce({D.dot('v.es', 'q.qe')} / nullif(v.ns * q.qn, 0e0), 0e0), 9) AS ss,
+        round(coalesce({D.dot('v.ec', 'q.qe')} / nullif(v.nc * q.qn, 0e0), 0e0), 9) AS sp FROM vq q JOIN vn v ON v.video_id = q.video_id)"""
+
+
 B = {
     "j5_channel_scores": lambda D: f"WITH {scores(D)} SELECT query_id, idx, round(ss, 6) AS s_sub, round(sp, 6) AS s_cap FROM sc",
     "v3_minmax": lambda D: f"WITH {scores(D)} SELECT query_id, idx, round({minmax('sp')}, 5) AS v FROM sc",
@@ -17,34 +25,42 @@ B = {
     "v5_combined": lambda D: f"WITH {ranked(D)} SELECT query_id, idx, round(score, 5) AS score FROM fu",
     "v6_fused_search": lambda D: f"WITH {ranked(D)} SELECT query_id, video_id, idx, round(score, 5) AS score, rank FROM rk WHERE rank <= 10",
     "v7_search_top3": lambda D: f"WITH {ranked(D)} SELECT query_id, idx, rank FROM rk WHERE rank <= 3",
-    "v9_max_pool_variants": lambda D: f"WITH {scores(D)}, pool AS (SELECT query_id, idx, ss AS v FROM sc UNION ALL SELECT query_id, idx, sp FROM sc) "
-                                      "SELECT query_id, idx, round(max(v), 6) AS pooled FROM pool GROUP BY query_id, idx",
-    "v10_score_pool": lambda D: f"WITH {ranked(D)} SELECT query_id, idx, round(greatest(zs, score), 5) AS pooled FROM fu",
+    # Variants of a query: the caption vectors of all its true segments. V9 pools raw cosines before the normalisation, V10 fused scores.
+    "v9_max_pool_variants": lambda D: f"WITH {variants(D)} SELECT query_id, idx, round(max(sp), 6) AS pooled FROM vc GROUP BY query_id, idx",
+    "v10_score_pool": lambda D: f"""WITH {variants(D)}, vz AS (SELECT query_id, idx, {zscore('ss', 'query_id, variant')} AS zs, {zscore('sp', 'query_id, variant')} AS zp, mask FROM vc)
+        SELECT query_id, idx, round(max(0.5e0 * zs + 0.5e0 * CASE WHEN mask THEN zs ELSE zp END), 5) AS pooled FROM vz GROUP BY query_id, idx""",
     "v11_channel_stats": lambda D: f"WITH {scores(D)} SELECT query_id, round(max(ss), 6) AS sub_max, round(avg(ss), 6) AS sub_mean, round(max(sp), 6) AS cap_max, "
                                    "round(avg(sp), 6) AS cap_mean, stddev_pop(ss) < 1e-9 AS sub_flat, stddev_pop(sp) < 1e-9 AS cap_flat FROM sc GROUP BY query_id",
     "v12_rrf": lambda D: f"WITH {scores(D)}, a AS (SELECT query_id, idx, row_number() OVER (PARTITION BY query_id ORDER BY ss DESC, idx) AS r1, "
                          "row_number() OVER (PARTITION BY query_id ORDER BY sp DESC, idx) AS r2 FROM sc), src AS (SELECT * FROM a) " + top(D, "1e0 / (60 + r1) + 1e0 / (60 + r2)"),
     "v13_raw_sum": lambda D: f"WITH {scores(D)}, src AS (SELECT * FROM sc) " + top(D, "0.4e0 * ss + 0.6e0 * sp"),
     "v13_minmax_fusion": lambda D: f"WITH {scores(D)}, src AS (SELECT query_id, idx, {minmax('ss')} AS a, {minmax('sp')} AS b FROM sc) " + top(D, "0.5e0 * a + 0.5e0 * b"),
-    "v14_row_alpha": lambda D: f"WITH {ranked(D)}, {seg(D)}, al AS (SELECT video_id, idx, CASE WHEN coalesce(trim(sub), '') = '' AND coalesce(trim(cap), '') <> '' THEN 0e0 "
-                               "WHEN coalesce(trim(cap), '') = '' AND coalesce(trim(sub), '') <> '' THEN 1e0 ELSE 0.5e0 END AS alpha FROM seg), "
-                               "src AS (SELECT z.query_id, z.idx, alpha * zs + (1e0 - alpha) * zp AS v0 FROM zz z JOIN al ON al.video_id = z.video_id AND al.idx = z.idx) " + top(D, "v0"),
+    "v14_row_alpha": lambda D: f"""WITH {ranked(D)}, {seg(D)}, ct AS (SELECT video_id, idx, coalesce(trim(sub), '') = '' AS empty, {corrupted(D, 'cap')} AS corr FROM seg),
+        al AS (SELECT video_id, idx, CASE WHEN empty AND NOT corr THEN 0e0 WHEN corr AND NOT empty THEN 1e0 ELSE 0.5e0 END AS alpha FROM ct),
+        src AS (SELECT z.query_id, z.idx, alpha * zs + (1e0 - alpha) * zp AS v0 FROM zz z JOIN al ON al.video_id = z.video_id AND al.idx = z.idx) """ + top(D, "v0"),
     "v15_smooth_box": lambda D: f"WITH {ranked(D)} SELECT query_id, idx, round(score + 0.25e0 * (coalesce(lag(score) OVER w, score) + coalesce(lead(score) OVER w, score)), 5) AS score "
                                 "FROM fu WINDOW w AS (PARTITION BY query_id ORDER BY idx)",
     "v16_smooth_gauss": lambda D: f"WITH {ranked(D)}, e AS (SELECT query_id, idx, score, first_value(score) OVER (PARTITION BY query_id ORDER BY idx) AS lo, "
                                   "last_value(score) OVER (PARTITION BY query_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS hi FROM fu) SELECT query_id, idx, round((score + "
                                   + " + ".join(f"exp(-{k * k / 2.0}e0) * (coalesce(lag(score, {k}) OVER w, lo) + coalesce(lead(score, {k}) OVER w, hi))" for k in range(1, 5))
                                   + ") / (1e0 + " + " + ".join(f"2e0 * exp(-{k * k / 2.0}e0)" for k in range(1, 5)) + "), 5) AS score FROM e WINDOW w AS (PARTITION BY query_id ORDER BY idx)",
-    "v18_adjacent_similarity": lambda D: f"WITH {scores(D)}, n AS (SELECT video_id, idx, ec, nc, lag(ec) OVER w AS pe, lag(nc) OVER w AS pn FROM vn WINDOW w AS (PARTITION BY video_id ORDER BY idx, vec_id)) "
-                                         f"SELECT video_id, count(*) AS n, round(avg({D.dot('ec', 'pe')} / nullif(nc * pn, 0e0)), 6) AS adjacent FROM n WHERE pe IS NOT NULL GROUP BY video_id",
+    # The mean over all pairs follows from the length of the summed unit vectors; no pairs are made.
+    "v18_segment_similarity": lambda D: f"""WITH {index(D)},
+        u AS (SELECT video_id, idx, vec_id, {D.map_('ec', 'x -> x / nc')} AS e FROM vn WHERE nc > 0),
+        n AS (SELECT video_id, e, lag(e) OVER (PARTITION BY video_id ORDER BY idx, vec_id) AS before FROM u),
+        ad AS (SELECT video_id, count(*) AS n, avg({D.dot('e', 'before')}) AS adjacent FROM n GROUP BY video_id),
+        su AS (SELECT video_id, sum(s * s) AS sq FROM (SELECT video_id, d, sum(CAST({D.at('e', 'd')} AS DOUBLE)) AS s
+               FROM {D.each('u', D.seq('0', '63'), 'd')} GROUP BY video_id, d) x GROUP BY video_id)
+        SELECT ad.video_id, ad.n, round(adjacent, 5) AS adjacent, round((sq - ad.n) / (ad.n * (ad.n - 1e0)), 5) AS pairs,
+        round(adjacent - (sq - ad.n) / (ad.n * (ad.n - 1e0)), 5) AS gap FROM ad JOIN su ON su.video_id = ad.video_id WHERE ad.n > 1""",
     "v19_query_features": lambda D: f"WITH {ranked(D)}, t AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS t1, max(CASE WHEN rank = 2 THEN score END) AS t2, "
                                     "max(CASE WHEN rank = 5 THEN score END) AS t5, max(ss) AS ms, max(sp) AS mp FROM rk GROUP BY query_id) "
                                     "SELECT query_id, round(t1, 5) AS top1, round(t1 - t2, 5) AS gap12, round(t1 - t5, 5) AS gap15, round(ms - mp, 6) AS channel_gap FROM t",
     "v20_margin": lambda D: f"WITH {ranked(D)} SELECT query_id, round(max(CASE WHEN good THEN score END) - max(CASE WHEN NOT good THEN score END), 5) AS margin FROM fu GROUP BY query_id",
     "v22_percentile": lambda D: f"WITH {ranked(D)}, g AS (SELECT query_id, max(CASE WHEN good THEN sp END) AS own FROM fu GROUP BY query_id) "
                                 "SELECT f.query_id, round(avg(CASE WHEN f.sp < g.own THEN 1e0 ELSE 0e0 END), 6) AS pct FROM fu f JOIN g ON f.query_id = g.query_id WHERE g.own IS NOT NULL GROUP BY f.query_id",
-    "v23_identical_vectors": lambda D: f"WITH {scores(D)}, g AS (SELECT video_id, ec, count(*) AS n FROM vi GROUP BY video_id, ec) SELECT video_id, max(n) AS largest, count(*) AS blocks FROM g GROUP BY video_id",
-    "v24_epsilon_cosine": lambda D: f"WITH {scores(D)} SELECT a.vec_id, round({D.dot('a.ec', 'a.es')} / ((a.nc + 1e-9) * (a.ns + 1e-9)), 6) AS cosine FROM vn a WHERE a.es IS NOT NULL",
+    "v23_identical_vectors": lambda D: f"WITH {index(D)}, g AS (SELECT video_id, ec, count(*) AS n FROM vi GROUP BY video_id, ec) SELECT video_id, max(n) AS largest, count(*) AS blocks FROM g GROUP BY video_id",
+    "v24_epsilon_cosine": lambda D: f"WITH {index(D)} SELECT a.vec_id, round({D.dot('a.ec', 'a.es')} / ((a.nc + 1e-9) * (a.ns + 1e-9)), 6) AS cosine FROM vn a WHERE a.es IS NOT NULL",
     "r2_topk_slice": lambda D: f"WITH {ranked(D)} SELECT query_id, rank, idx FROM rk WHERE rank <= 5",
     "r3_first_rank": lambda D: f"WITH {ranked(D)} SELECT query_id, coalesce(min(CASE WHEN good THEN rank END), 0) AS rank FROM rk GROUP BY query_id",
     "r4_restricted_rr": lambda D: f"WITH {ranked(D)}, c AS (SELECT query_id, idx, good, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM rk WHERE good OR {D.draw('4', 'query_id', 'idx')} = 0) "
@@ -83,8 +99,5 @@ B = {
     "proj_p20_ribbon": lambda D: f"WITH {ranked(D)} SELECT query_id, idx, round(power({minmax('score')}, 2.2e0), 5) AS heat FROM fu",
     "proj_p23_quadrant": lambda D: f"WITH {paired(D)} SELECT video_id, CASE WHEN avg(m1 - m0) >= 0 AND avg(k1 - k0) >= 0 THEN 'both' WHEN avg(m1 - m0) >= 0 THEN 'rr' WHEN avg(k1 - k0) >= 0 THEN 'rank' ELSE 'none' END AS quadrant FROM rr GROUP BY video_id",
     "a56_query_independence": lambda D: f"WITH {ranked(D)}, t AS (SELECT video_id, query_type, idx, count(*) AS n FROM rk WHERE rank = 1 GROUP BY video_id, query_type, idx) SELECT video_id, query_type, count(*) AS distinct_top, round(max(n) * 1e0 / sum(n), 6) AS modal_share FROM t GROUP BY video_id, query_type",
-    "b2_alpha_grid": lambda D: f"WITH {ranked(D)}, g AS (SELECT i / 10e0 AS alpha, zz.* FROM {D.each('zz', D.seq('0', '10'), 'i')}), "
-                               "s AS (SELECT alpha, query_id, idx, good, row_number() OVER (PARTITION BY alpha, query_id ORDER BY round(alpha * zs + (1e0 - alpha) * CASE WHEN mask THEN zs ELSE zp END, 8) DESC, idx) AS r FROM g), "
-                               "q AS (SELECT alpha, query_id, coalesce(1e0 / min(CASE WHEN good THEN r END), 0e0) AS rr FROM s GROUP BY alpha, query_id) SELECT alpha, round(avg(rr), 6) AS mrr FROM q GROUP BY alpha",
 }
 QUERIES, SQL = register(B)
