@@ -36,6 +36,9 @@ class Dialect:
         """A FROM item with one row for each element."""
         return f"{source} LATERAL VIEW explode({array}) x_{col} AS {col}" if self.spark else f"{source}, unnest({array}) AS x_{col}({col})"
 
+    def arr(self, *items: str) -> str:
+        return f"array({', '.join(items)})" if self.spark else f"[{', '.join(items)}]"
+
     def has(self, a: str, x: str) -> str:
         return f"array_contains({a}, {x})" if self.spark else f"list_contains({a}, {x})"
 
@@ -48,12 +51,11 @@ class Dialect:
         return (f"(CAST(conv(substr(md5({text}), 1, 8), 16, 10) AS BIGINT) % {mod})" if self.spark
                 else f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % {mod})")
 
-    def poisson(self, *parts: str) -> str:
-        """How often a row is drawn in a bootstrap replicate: a Poisson number of mean 1, from a hash of the parts."""
+    def poisson(self, h: str) -> str:
+        """How often a row is drawn in a bootstrap replicate: a Poisson number of mean 1, from a hash below 2^32."""
         # The distribution function of the Poisson law of mean 1, times 2^32.
-        steps = (1580030169, 3160060337, 3950075421, 4213413783, 4278998373, 4292115291, 4294301444, 4294613751)
-        at = self.draw("4294967296", *parts)
-        return "(" + " + ".join(f"CASE WHEN {at} >= {x} THEN 1 ELSE 0 END" for x in steps) + ")"
+        steps = (1580030169, 3160060337, 3950075422, 4213413783, 4279248374, 4292415292, 4294609778, 4294923276)
+        return "(" + " + ".join(f"CASE WHEN {h} >= {x} THEN 1 ELSE 0 END" for x in steps) + ")"
 
     def rx(self, c: str, p: str) -> str:
         return f"({c} RLIKE r'{p}')" if self.spark else f"regexp_matches({c}, '{p}')"

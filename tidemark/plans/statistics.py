@@ -2,24 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans.dialect import Dialect, paired, qry, register, rep, seg
-
-R = 200
-
-
-def deltas(D: Dialect) -> str:
-    return f"{paired(D)}, dl AS (SELECT query_id, video_id, m1 - m0 AS d, row_number() OVER (ORDER BY query_id) - 1 AS i FROM (SELECT query_id, video_id, m0, m1 FROM rr) a), nn AS (SELECT count(*) AS n FROM dl)"
-
-
-def videos_of(D: Dialect) -> str:
-    return f"{paired(D)}, vv AS (SELECT video_id, sum(m1 - m0) AS s, count(*) AS c, row_number() OVER (ORDER BY video_id) - 1 AS i FROM rr GROUP BY video_id), nn AS (SELECT count(*) AS n FROM vv)"
-
-
-def draws(D: Dialect, source: str, seed: int = 42) -> str:
-    """rp: for each replicate and place the number of the row drawn."""
-    return (f"p0 AS (SELECT i AS pos, n FROM {source} JOIN nn ON true), "
-            f"rp AS (SELECT b, pos, {D.draw('n', str(seed), 'b', 'pos')} AS pick FROM {D.each('p0', D.seq('1', str(R)), 'b')})")
-
+from tidemark.plans.dialect import Dialect, qry, register, rep, seg
 
 def raters(D: Dialect) -> str:
     return (f"{seg(D)}, rt AS (SELECT video_id, idx, arm, CASE WHEN length(coalesce(cap, '')) < 30 THEN 'short' WHEN length(cap) < 60 THEN 'mid' ELSE 'long' END AS a, "
@@ -27,20 +10,10 @@ def raters(D: Dialect) -> str:
 
 
 B = {
-    "b1_paired_bootstrap": lambda D: f"WITH {deltas(D)}, {draws(D, 'dl')}, m AS (SELECT b, avg(d) AS m FROM rp JOIN dl ON dl.i = rp.pick GROUP BY b) SELECT round({D.pct('m', 0.025)}, 4) AS lo, round({D.pct('m', 0.975)}, 4) AS hi, round(avg(m), 6) AS mean FROM m",
-    "b4_cluster_bootstrap": lambda D: f"WITH {videos_of(D)}, {draws(D, 'vv', 7)}, m AS (SELECT b, sum(s) / sum(c) AS w, avg(s / c) AS macro FROM rp JOIN vv ON vv.i = rp.pick GROUP BY b) SELECT round({D.pct('w', 0.025)}, 4) AS w_lo, round({D.pct('w', 0.975)}, 4) AS w_hi, round({D.pct('macro', 0.025)}, 4) AS macro_lo, round({D.pct('macro', 0.975)}, 4) AS macro_hi FROM m",
-    "b5_bootstrap_p": lambda D: f"WITH {videos_of(D)}, {draws(D, 'vv', 9)}, m AS (SELECT b, sum(s) / sum(c) AS w FROM rp JOIN vv ON vv.i = rp.pick GROUP BY b) SELECT round(greatest(1e0 / count(*), least(1e0, 2e0 * least(avg(CASE WHEN w <= 0 THEN 1e0 ELSE 0e0 END), avg(CASE WHEN w >= 0 THEN 1e0 ELSE 0e0 END)))), 6) AS p FROM m",
-    "b6_sign_flip": lambda D: f"WITH {deltas(D)}, f AS (SELECT b, d * (2 * {D.draw('2', '11', 'b', 'query_id')} - 1) AS d FROM {D.each('dl', D.seq('1', str(R)), 'b')}), m AS (SELECT b, avg(d) AS m FROM f GROUP BY b), o AS (SELECT avg(d) AS obs FROM dl) SELECT round(avg(CASE WHEN abs(m) >= abs(obs) - 1e-12 THEN 1e0 ELSE 0e0 END), 6) AS p FROM m JOIN o ON true",
-    "b7_benjamini_hochberg": lambda D: f"WITH {paired(D)}, t AS (SELECT video_id, count(*) AS n, (1 + sum(CASE WHEN m1 <= m0 THEN 1 ELSE 0 END)) / (2e0 + count(*)) AS p FROM rr GROUP BY video_id), r AS (SELECT video_id, p, row_number() OVER (ORDER BY p, video_id) AS k, count(*) OVER () AS m FROM t), "
-                                       "c AS (SELECT coalesce(max(CASE WHEN p <= k * 0.2e0 / m THEN k END), 0) AS cut FROM r) SELECT video_id, round(p, 6) AS p, k <= cut AS reject FROM r JOIN c ON true",
     "b9_wilson": lambda D: f"WITH {seg(D)}, g AS (SELECT arm, sum(CASE WHEN still THEN 1e0 ELSE 0e0 END) AS k, count(*) * 1e0 AS n FROM seg GROUP BY arm) SELECT arm, round(greatest(0e0, (k / n + 1.9208e0 / n - 1.96e0 * sqrt((k / n) * (1 - k / n) / n + 0.9604e0 / (n * n))) / (1 + 3.8416e0 / n)), 6) AS lo, round(least(1e0, (k / n + 1.9208e0 / n + 1.96e0 * sqrt((k / n) * (1 - k / n) / n + 0.9604e0 / (n * n))) / (1 + 3.8416e0 / n)), 6) AS hi FROM g",
-    "b12_ratio_bootstrap": lambda D: f"WITH {seg(D)}, vv AS (SELECT video_id, sum(length(coalesce(sub, ''))) AS s, sum(length(coalesce(cap, ''))) AS c, row_number() OVER (ORDER BY video_id) - 1 AS i FROM seg GROUP BY video_id), nn AS (SELECT count(*) AS n FROM vv), {draws(D, 'vv', 5)}, m AS (SELECT b, sum(s) * 1e0 / nullif(sum(c), 0) AS r FROM rp JOIN vv ON vv.i = rp.pick GROUP BY b) SELECT round({D.pct('r', 0.025)}, 4) AS lo, round({D.pct('r', 0.975)}, 4) AS hi FROM m",
-    "b17_verdict": lambda D: f"WITH {paired(D)} SELECT video_id, CASE WHEN count(*) < 5 THEN 'demoted' WHEN avg(m1) >= 0.7e0 THEN 'strong' WHEN avg(m1) >= 0.6e0 THEN 'weak' ELSE 'none' END AS verdict FROM rr GROUP BY video_id",
     "a19_cohens_kappa": lambda D: f"WITH {raters(D)}, n AS (SELECT count(*) * 1e0 AS n, sum(CASE WHEN a = b THEN 1e0 ELSE 0e0 END) AS same FROM rt), ca AS (SELECT a AS c, count(*) AS n FROM rt GROUP BY a), cb AS (SELECT b AS c, count(*) AS n FROM rt GROUP BY b), e AS (SELECT sum(ca.n * 1e0 * cb.n) AS x FROM ca JOIN cb ON ca.c = cb.c) SELECT round((same / n - x / (n * n)) / nullif(1 - x / (n * n), 0), 6) AS kappa FROM n JOIN e ON true",
     "a20_confusion": lambda D: f"WITH {raters(D)} SELECT a, " + ", ".join(f"sum(CASE WHEN b = '{c}' THEN 1 ELSE 0 END) AS b_{c}" for c in ("short", "mid", "long")) + " FROM rt GROUP BY a",
     "a21_purity": lambda D: f"WITH {raters(D)}, c AS (SELECT video_id, arm, count(*) AS n FROM rt GROUP BY video_id, arm), g AS (SELECT video_id, max(n) AS top, sum(n) AS n FROM c GROUP BY video_id HAVING sum(n) >= 2) SELECT round(sum(top) * 1e0 / sum(n), 6) AS purity FROM g",
-    "b14_purity_chance": lambda D: f"WITH {raters(D)}, k AS (SELECT round_no, video_id, arm, row_number() OVER (PARTITION BY round_no ORDER BY video_id, idx) AS p, row_number() OVER (PARTITION BY round_no ORDER BY {D.draw('1000003', '3', 'round_no', 'video_id', 'idx')}, video_id, idx) AS q FROM {D.each('rt', D.seq('1', '5'), 'round_no')}), j AS (SELECT x.round_no, x.video_id, y.arm FROM k x JOIN k y ON x.round_no = y.round_no AND x.p = y.q), "
-                                   "c AS (SELECT round_no, video_id, arm, count(*) AS n FROM j GROUP BY round_no, video_id, arm), g AS (SELECT round_no, video_id, max(n) AS top, sum(n) AS n FROM c GROUP BY round_no, video_id HAVING sum(n) >= 2) SELECT round_no, round(sum(top) * 1e0 / sum(n), 6) AS purity FROM g GROUP BY round_no",
     "a37_weighted_rate": lambda D: f"WITH {raters(D)}, c AS (SELECT arm, a, count(*) AS pop, avg(CASE WHEN {D.draw('3', 'video_id', 'idx')} = 0 THEN CASE WHEN a <> b THEN 1e0 ELSE 0e0 END END) AS rate FROM rt GROUP BY arm, a) SELECT arm, round(sum(pop * rate) / nullif(sum(CASE WHEN rate IS NOT NULL THEN pop END), 0), 6) AS rate FROM c GROUP BY arm",
     "a48_shares_by_family": lambda D: f"WITH f AS (SELECT {'substring_index(video_id, ' + chr(39) + '_' + chr(39) + ', 1)' if D.spark else 'split_part(video_id, ' + chr(39) + '_' + chr(39) + ', 1)'} AS family, count(DISTINCT video_id) AS n FROM {D.t('videos')} GROUP BY 1) SELECT family, n, round(n * 1e0 / sum(n) OVER (), 6) AS share FROM f",
     "a51_parity": lambda D: f"SELECT video_id, CASE WHEN count(DISTINCT channel_id) > 1 THEN 'mismatch' WHEN count(channel_id) = 0 THEN 'unknown' WHEN count(channel_id) < count(*) THEN 'partially_recorded' ELSE 'match' END AS parity FROM {D.t('videos')} GROUP BY video_id",

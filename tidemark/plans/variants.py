@@ -16,12 +16,6 @@ def expanded(D: Dialect) -> str:
 B = {
     "v8_expand_query": lambda D: f"WITH {expanded(D)} SELECT query_id, text FROM ex",
     "v17_joint_text": lambda D: f"WITH {seg(D)} SELECT video_id, idx, concat('자막: ', coalesce(sub, ''), ' 장면: ', coalesce(cap, '')) AS joint FROM seg",
-    "b3_query_interval": lambda D: f"WITH {paired(D)} SELECT round(avg(m1 - m0) - 1.96e0 * stddev_samp(m1 - m0) / sqrt(count(*)), 4) AS lo, round(avg(m1 - m0) + 1.96e0 * stddev_samp(m1 - m0) / sqrt(count(*)), 4) AS hi FROM rr",
-    "b8_combined_family": lambda D: f"WITH {paired(D)}, f AS (SELECT 'video' AS family, video_id AS k, (1 + sum(CASE WHEN m1 <= m0 THEN 1 ELSE 0 END)) / (2e0 + count(*)) AS p FROM rr GROUP BY video_id UNION ALL SELECT 'type', query_type, (1 + sum(CASE WHEN m1 <= m0 THEN 1 ELSE 0 END)) / (2e0 + count(*)) FROM rr GROUP BY query_type), "
-                                    "r AS (SELECT family, k, p, row_number() OVER (ORDER BY p, family, k) AS i, count(*) OVER () AS m FROM f), c AS (SELECT coalesce(max(CASE WHEN p <= i * 0.2e0 / m THEN i END), 0) AS cut FROM r) SELECT family, k, i <= cut AS reject FROM r JOIN c ON true",
-    "b19_significance_flag": lambda D: f"WITH {paired(D)}, g AS (SELECT query_type, avg(m1 - m0) AS d, 1.96e0 * stddev_samp(m1 - m0) / sqrt(count(*)) AS h FROM rr GROUP BY query_type) SELECT query_type, d - h > 0 OR d + h < 0 AS significant FROM g WHERE h IS NOT NULL",
-    "b20_pool_sizes": lambda D: f"WITH {scores(D)}, zz AS (SELECT *, {zscore('sp')} AS zp FROM sc), pool AS (SELECT query_id, idx, good, zp, n FROM {D.each('zz', D.seq('1', '3'), 'n')} WHERE good OR {D.draw('8', 'query_id', 'idx')} < n * 2), "
-                                "r AS (SELECT n, query_id, good, row_number() OVER (PARTITION BY n, query_id ORDER BY round(zp, 8) DESC, idx) AS r FROM pool), q AS (SELECT n, query_id, coalesce(1e0 / min(CASE WHEN good THEN r END), 0e0) AS rr FROM r GROUP BY n, query_id) SELECT n AS eighths, round(avg(rr), 6) AS mrr FROM q GROUP BY n",
     "a61_effect_decomposition": lambda D: f"WITH {paired(D)} SELECT sum(CASE WHEN m1 > m0 THEN 1 ELSE 0 END) AS win, sum(CASE WHEN m1 = m0 THEN 1 ELSE 0 END) AS tie, sum(CASE WHEN m1 < m0 THEN 1 ELSE 0 END) AS loss, round(avg(m1) - avg(m0), 6) AS effect FROM rr",
     "a62_rows_at_three_alphas": lambda D: f"WITH {scores(D)}, zz AS (SELECT *, {zscore('ss')} AS zs, {zscore('sp')} AS zp FROM sc), g AS (SELECT k / 2e0 AS alpha, zz.* FROM {D.each('zz', D.seq('0', '2'), 'k')}), "
                                           "s AS (SELECT alpha, query_id, good, row_number() OVER (PARTITION BY alpha, query_id ORDER BY round(alpha * zs + (1e0 - alpha) * CASE WHEN mask THEN zs ELSE zp END, 8) DESC, idx) AS r FROM g) SELECT alpha, query_id, coalesce(min(CASE WHEN good THEN r END), 0) AS rank FROM s GROUP BY alpha, query_id",
