@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The scripts that count as foreign in a caption, sentence ends, thresholds.
-CJK = "぀-ヿ㐀-䶿一-鿿"
+CJK = "一-鿿぀-ヿ"
 SENTENCE_END = "。．.!?！？…"
 MIN_CJK, CJK_SHARE, WORD_SHARE, MIN_WORDS = 3, 0.2, 0.4, 6
 
@@ -23,12 +23,12 @@ def strip_residual_cjk(c: Column, script: str = CJK) -> Column:
 def truncate_to_sentence(c: Column) -> Column:
     """Up to the last sentence end; unchanged where there is none."""
     head = F.regexp_extract(c, f"(?s)^(.*[{SENTENCE_END}])", 1)
-    return F.when(c.isNotNull(), F.when(head == "", c).otherwise(head))
+    return F.when(c.isNotNull(), F.when(head == "", c).otherwise(F.regexp_replace(head, r"\s+$", "")))
 
 
 def display_clean(c: Column) -> Column:
     """Three or more repeats of a token of at most 15 characters become one; the script is dropped."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(\S{1,15})(?:\s*\1){2,}", "$1"), f"[{CJK}]+", ""))
+    return F.regexp_replace(F.regexp_replace(c, r"(\S{1,15})(?:\s+\1){2,}", "$1"), f"[{CJK}]+", "")
 
 
 def repeats_phrase(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import matching
+from tidemark.session import cut_lineage
 from tidemark.sources.tables import table
 
 INVENTORY = "frozen_kheritage_grave_excavation"
@@ -59,7 +60,8 @@ def b15_grouped_auc(spark: SparkSession, d: str) -> DataFrame:
     s = s.where("m IS NOT NULL AND still IS NOT NULL").select(
         "video_id", "idx", F.col("still").cast("double").alias("label"), F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("n"), (F.col("idx") % 12).cast("double").alias("i"),
         F.pmod(F.crc32(F.col("video_id").cast("binary")), F.lit(3)).alias("fold"))
-    s = VectorAssembler(inputCols=["n", "i"], outputCol="features").transform(s).persist()
+    s = cut_lineage(s)  # read once for each fold
+    s = VectorAssembler(inputCols=["n", "i"], outputCol="features").transform(s)
     parts = []
     for fold in range(3):
         train = s.where(F.col("fold") != fold)
@@ -67,6 +69,8 @@ def b15_grouped_auc(spark: SparkSession, d: str) -> DataFrame:
             continue
         model = LogisticRegression(maxIter=20).fit(train)
         parts.append(model.transform(s.where(F.col("fold") == fold)).select("fold", "label", F.round(vector_to_array("probability")[1], 6).alias("p")))
+    if not parts:
+        return spark.createDataFrame([], "fold int, auc double")
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)

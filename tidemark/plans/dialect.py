@@ -36,6 +36,12 @@ class Dialect:
         """A FROM item with one row for each element."""
         return f"{source} LATERAL VIEW explode({array}) x_{col} AS {col}" if self.spark else f"{source}, unnest({array}) AS x_{col}({col})"
 
+    def text(self, a: str, sep: str = "") -> str:
+        return f"array_join({a}, '{sep}')" if self.spark else f"array_to_string({a}, '{sep}')"
+
+    def first(self, a: str, n: int) -> str:
+        return f"slice({a}, 1, {n})" if self.spark else f"{a}[1:{n}]"
+
     def arr(self, *items: str) -> str:
         return f"array({', '.join(items)})" if self.spark else f"[{', '.join(items)}]"
 
@@ -144,6 +150,64 @@ def corrupted(D: Dialect, c: str) -> str:
     return f"coalesce({c} <> '' AND ({n} >= 3 OR {n} > 0.2e0 * length({c}) OR {phrase} OR ({D.size(words)} >= 6 AND {most} > 0.4e0 * {D.size(words)})), false)"
 
 
+# Phrases that are a subtitle's credit as a whole, and instructions inside a text.
+CREDITS = (r"한글\s*자막\s*(by|바이|제공|제작)\s*[:：]?\s*.{0,20}", r"자막\s*(제공|제작|by)\s*[:：]?\s*.{0,20}", r".{0,30}amara\.org.{0,40}")
+INSTRUCTIONS = (r"이전\s*지시", r"위\s*지시", r"다음\s*지시를?\s*따라", r"지시를\s*따라", "무시하고", "무시해", r"위\s*규칙을?\s*무시", r"시스템\s*프롬프트",
+                r"system\s*prompt", r"ignore\s*(previous|above|all)\s*instructions?", r"너는\s*이제", r"당신은\s*이제")
+QUALITY_NOTE, INSTRUCTION_NOTE = "(캡션 품질 문제로 제외됨)", "(지시문 의심으로 제외됨)"
+# Spellings of a missing value, after trimming and lower-casing.
+MISSING = ("unknown", "n/a", "na", "none", "null", "nil", "nan", "pending", "tbd", "todo", "missing", "undefined", "unspecified", "미상", "없음")
+
+
+def credit(D: Dialect, c: str) -> str:
+    whole = "|".join(f"(?:{x})" for x in CREDITS)
+    return "coalesce(" + D.rx(f"trim({c})", rf"(?i)^(?:{whole})$") + ", false)"
+
+
+def suspicious(D: Dialect, c: str) -> str:
+    return "coalesce(" + D.rx(c, "(?i)" + "|".join(f"(?:{x})" for x in INSTRUCTIONS)) + ", false)"
+
+
+def strip_foreign(D: Dialect, c: str) -> str:
+    return f"trim({D.rep(D.rep(c, f'[{FOREIGN}]+'), '[ ][ ]+', ' ')})"
+
+
+def to_sentence(D: Dialect, c: str) -> str:
+    """Up to the last sentence end, without blanks behind; unchanged where there is none."""
+    ends = "。．.!?！？…"
+    return f"CASE WHEN {D.rx(c, f'[{ends}]')} THEN {D.rep(c, f'[^{ends}]*$')} ELSE {c} END"
+
+
+def clean_for_report(D: Dialect, caption: str) -> str:
+    """A caption as a report may read it: a note instead of a corrupted or instructing one, else without foreign letters."""
+    return (f"CASE WHEN {corrupted(D, caption)} THEN '{QUALITY_NOTE}' WHEN {suspicious(D, strip_foreign(D, caption))} THEN '{INSTRUCTION_NOTE}' "
+            f"ELSE {strip_foreign(D, f'coalesce({caption}, {chr(39) * 2})')} END")
+
+
+def narration(D: Dialect, c: str) -> str:
+    """A sentence without its citations and without dashes, dots and commas around it."""
+    bare = D.rep(c, r"(?i)\[?\s*seg\s*#\s*\d+\s*(?:,\s*seg\s*#\s*\d+\s*)*\]?")
+    return D.rep(D.rep(bare, r"^[ \-–—·,.\t]+"), r"[ \-–—·,.\t]+$")
+
+
+def present(D: Dialect, c: str) -> str:
+    """Whether a registry value is more than a spelling of "missing"."""
+    return f"coalesce({D.rx(c, '[0-9A-Za-z가-힣]')} AND lower(trim({c})) NOT IN ({', '.join(repr(m) for m in MISSING)}), false)"
+
+
+def hashed(D: Dialect, source: str, group: str, seed: str, *keys: str) -> str:
+    """hk: the rows of ``source`` with rn, their rank by hash in their group, and n, its size.
+
+    Ranks are counted within ranges of the hash and moved by the sizes of the ranges before, so no task sorts a whole group.
+    """
+    return (f"hb AS (SELECT x.*, coalesce(CAST({group} AS STRING), '?') AS grp, {D.draw('4294967296', seed, *keys)} AS h FROM (SELECT * FROM {source}) x), "
+            f"hc AS (SELECT grp, {D.idiv('h', '1048576')} AS part, count(*) AS c FROM hb GROUP BY grp, {D.idiv('h', '1048576')}), "
+            "hs AS (SELECT grp, part, coalesce(sum(c) OVER (PARTITION BY grp ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, "
+            "sum(c) OVER (PARTITION BY grp) AS n FROM hc), "
+            f"hk AS (SELECT hb.*, hs.n, hs.base + row_number() OVER (PARTITION BY hb.grp, hs.part ORDER BY hb.h, {', '.join('hb.' + k for k in keys)}) AS rn "
+            f"FROM hb JOIN hs ON hs.grp = hb.grp AND hs.part = {D.idiv('hb.h', '1048576')})")
+
+
 # Shared sources; repeated rows of a key are one row.
 
 def seg(D: Dialect) -> str:

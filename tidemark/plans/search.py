@@ -79,9 +79,6 @@ B = {
     "a8_contested": lambda D: f"WITH {paired(D)} SELECT CASE WHEN k0 = 1 AND k1 = 1 THEN 'saturated' ELSE 'contested' END AS part, count(*) AS n, round(avg(m0), 6) AS base, round(avg(m1), 6) AS fused FROM rr GROUP BY 1",
     "a27_delta_distribution": lambda D: f"WITH {paired(D)}, d AS (SELECT m1 - m0 AS d FROM rr) SELECT count(*) AS n, round(avg(d), 6) AS mean, round(" + D.pct("d", 0.5) + ", 6) AS median, round(min(d), 6) AS lo, round(max(d), 6) AS hi, "
                                         "sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS wins, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS losses, round(sum(CASE WHEN d > 0 THEN d ELSE 0e0 END), 5) AS gained FROM d",
-    "a28_leave_one_out": lambda D: f"WITH {paired(D)}, v AS (SELECT video_id, sum(m1 - m0) AS s, count(*) AS n FROM rr GROUP BY video_id), "
-                                   "t AS (SELECT video_id, s, n, sum(s) OVER () AS st, sum(n) OVER () AS nt FROM v) "
-                                   "SELECT video_id, round(s / n, 6) AS own, round((st - s) / nullif(nt - n, 0), 6) AS without FROM t",
     "a29_delta_by_type": lambda D: f"WITH {paired(D)} SELECT query_type, count(*) AS n, round(avg(m1 - m0), 6) AS delta FROM rr GROUP BY query_type",
     "a30_transfer_buckets": lambda D: f"WITH {paired(D)}, b AS (SELECT CASE WHEN k0 = 0 THEN n + 1 ELSE k0 END AS a, CASE WHEN k1 = 0 THEN n + 1 ELSE k1 END AS b, m1 - m0 AS d FROM rr) "
                                       "SELECT CASE WHEN a > 10 THEN 'low' WHEN a > 1 THEN 'mid' ELSE 'top' END AS before, CASE WHEN b < a THEN 'up' WHEN b > a THEN 'down' ELSE 'same' END AS move, count(*) AS n, round(avg(d), 6) AS delta FROM b GROUP BY 1, 2",
@@ -99,5 +96,7 @@ B = {
     "proj_p20_ribbon": lambda D: f"WITH {ranked(D)} SELECT query_id, idx, round(power({minmax('score')}, 2.2e0), 5) AS heat FROM fu",
     "proj_p23_quadrant": lambda D: f"WITH {paired(D)} SELECT video_id, CASE WHEN avg(m1 - m0) >= 0 AND avg(k1 - k0) >= 0 THEN 'both' WHEN avg(m1 - m0) >= 0 THEN 'rr' WHEN avg(k1 - k0) >= 0 THEN 'rank' ELSE 'none' END AS quadrant FROM rr GROUP BY video_id",
     "a56_query_independence": lambda D: f"WITH {ranked(D)}, t AS (SELECT video_id, query_type, idx, count(*) AS n FROM rk WHERE rank = 1 GROUP BY video_id, query_type, idx) SELECT video_id, query_type, count(*) AS distinct_top, round(max(n) * 1e0 / sum(n), 6) AS modal_share FROM t GROUP BY video_id, query_type",
+    "a28_leave_one_out": lambda D: f"""WITH {paired(D)}, v AS (SELECT video_id, sum(m1 - m0) AS s, count(*) AS n FROM rr GROUP BY video_id), t AS (SELECT sum(s) AS st, sum(n) AS nt FROM v)
+        SELECT video_id, round(s / n, 6) AS own, round((st - s) / nullif(nt - n, 0), 6) AS without, coalesce(round(st, 9) * round(st - s, 9) < 0, false) AS flips FROM v CROSS JOIN t""",
 }
 QUERIES, SQL = register(B)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+from tidemark.plans import dialect as T
 from tidemark.plans.dialect import Dialect, register, rep, seg
 
 CJK = "぀-ヿ㐀-鿿"
-PUNCT = ".!?。！？"
 
-# Phrases that mark an instruction inside a text, and the credits of a caption.
-INSTRUCTION = ("ignore (all )?previous", "disregard", "system prompt", "you are now", "이전 지시", "무시하")
-CREDIT = "(thanks for watching|subscribe|시청해 ?주셔서 감사합니다|구독과 좋아요|자막 ?(제공|by).{0,20})[.! ]*"
+# What a scan for secrets looks for.
 SECRETS = {"err_code": "err_code=0x[0-9a-f]+", "email": "[A-Za-z0-9.]+@[A-Za-z0-9]+[.][a-z]+", "cite": "seg#[0-9]+", "time": "[0-9]{2}:[0-9]{2}"}
 
 
@@ -50,12 +48,32 @@ def bm25(D: Dialect) -> str:
             "r AS (SELECT query_id, idx, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 8) DESC, idx) AS rank FROM b) SELECT query_id, idx, round(s, 5) AS score, rank FROM r WHERE rank <= 10")
 
 
+def clock(D: Dialect, t: str) -> str:
+    t = f"CAST(floor({t}) AS BIGINT)"
+    return f"lpad(CAST({D.idiv(t, '60')} AS STRING), CAST(greatest(2, length(CAST({D.idiv(t, '60')} AS STRING))) AS INT), '0'), ':', lpad(CAST({t} % 60 AS STRING), 2, '0')"
+
+
+def hashes(D: Dialect, row: str, name: str) -> str:
+    return (f"WITH {seg(D)}, r AS (SELECT video_id, idx, {D.idiv('idx', '512')} AS block, {D.sha(row)} AS h FROM seg), "
+            f"b AS (SELECT video_id, block, {D.sha(D.join('h', '', 'idx'))} AS h FROM r GROUP BY video_id, block) "
+            f"SELECT video_id, {D.sha(D.join('h', '', 'block'))} AS {name} FROM b GROUP BY video_id")
+
+
+def chrf(D: Dialect) -> str:
+    """Character n-grams of 1 to 6 as multisets, mean precision and recall over the lengths both have, F2; against the caption before."""
+    side = lambda c: " UNION ALL ".join(f"SELECT video_id, idx, {n} AS n, g FROM {D.each('q', grams(D, c, n), 'g')}" for n in range(1, 7))
+    return f"""WITH {seg(D)}, p AS (SELECT video_id, idx, {D.rep('cap', BLANK)} AS cap, lag({D.rep('cap', BLANK)}) OVER (PARTITION BY video_id ORDER BY idx) AS ref FROM seg),
+        q AS (SELECT * FROM p WHERE cap <> '' AND ref <> ''),
+        u AS (SELECT video_id, idx, n, g, 1 AS a, 0 AS b FROM ({side('cap')}) x UNION ALL SELECT video_id, idx, n, g, 0, 1 FROM ({side('ref')}) y),
+        c AS (SELECT video_id, idx, n, g, sum(a) AS a, sum(b) AS b FROM u GROUP BY video_id, idx, n, g),
+        m AS (SELECT video_id, idx, n, sum(least(a, b)) AS hit, sum(a) AS na, sum(b) AS nb FROM c GROUP BY video_id, idx, n),
+        f AS (SELECT video_id, idx, avg(hit * 1e0 / na) AS pr, avg(hit * 1e0 / nb) AS rc FROM m WHERE na > 0 AND nb > 0 GROUP BY video_id, idx)
+        SELECT video_id, idx, round(CASE WHEN pr + rc = 0 THEN 0e0 ELSE 5e0 * pr * rc / (4e0 * pr + rc) END, 6) AS f2 FROM f"""
+
+
 B = {
     "x1_strip_residual_cjk": lambda D: f"WITH {caps(D)} SELECT video_id, idx, trim({D.rep(D.rep('cap', f'[{CJK}]+'), '[ ][ ]+', ' ')}) AS clean FROM cap",
-    "x2_truncate_to_sentence": lambda D: f"WITH {caps(D)} SELECT video_id, idx, CASE WHEN {D.rx('cap', f'[{PUNCT}]')} THEN {D.rep('cap', f'[^{PUNCT}]*$')} ELSE cap END AS cut FROM cap",
-    "x3_narration": lambda D: f"WITH {rep(D)} SELECT report_id, sent_id, {D.rep(D.rep(D.rep('text', r'[ ]*\[seg#[^\]]*\]'), '^[ ,.-]+'), '[ ,.-]+$')} AS narration FROM rep WHERE text IS NOT NULL",
     "x4_parse_citations": lambda D: f"WITH {cites(D)} SELECT report_id, sent_id, c FROM ct",
-    "x8_char_ngrams": lambda D: f"WITH {caps(D)}, g AS (SELECT gram FROM {D.each('cap', grams(D, 'cap', 2), 'gram')}) SELECT gram, count(*) AS n FROM g GROUP BY gram",
     "x10_edit_distance": lambda D: f"WITH {seg(D)}, p AS (SELECT video_id, idx, cap, lag(cap) OVER (PARTITION BY video_id ORDER BY idx) AS prev FROM seg) SELECT video_id, idx, levenshtein(cap, prev) AS d FROM p WHERE cap IS NOT NULL AND prev IS NOT NULL",
     "x12_norm_basic": lambda D: f"WITH {seg(D)} SELECT video_id, idx, lower({D.rep('sub', '[^0-9A-Za-z가-힣]')}) AS norm FROM seg WHERE sub IS NOT NULL",
     "x13_norm_numfree": lambda D: f"WITH {seg(D)} SELECT video_id, idx, trim({D.rep(D.rep('sub', '[0-9]+[^ ]*'), '[ ]+', ' ')}) AS numfree FROM seg WHERE sub IS NOT NULL",
@@ -66,31 +84,18 @@ B = {
                                           "i AS (SELECT *, sum(CASE WHEN text = before THEN 0 ELSE 1 END) OVER (PARTITION BY report_id ORDER BY sent_id ROWS UNBOUNDED PRECEDING) AS island FROM l) SELECT report_id, island, min(sent_id) AS sent_id, count(*) AS lines FROM i GROUP BY report_id, island",
     "x20_forward_fill_speaker": lambda D: f"WITH {seg(D)}, l AS (SELECT video_id, idx, CASE WHEN {D.rx('sub', '^네')} THEN substring(sub, 1, 5) END AS label FROM seg) "
                                           + ("SELECT video_id, idx, last_value(label, true) OVER w AS owner FROM l" if D.spark else "SELECT video_id, idx, last_value(label IGNORE NULLS) OVER w AS owner FROM l") + " WINDOW w AS (PARTITION BY video_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
-    "x21_index_text_hash": lambda D: f"WITH {seg(D)} SELECT video_id, {D.sha(D.join(f'concat(coalesce(sub, {chr(39)*2}), chr(31), coalesce(cap, {chr(39)*2}), chr(30))', '', 'idx'))} AS text_hash FROM seg GROUP BY video_id",
-    "x22_field_hash": lambda D: f"WITH {seg(D)} SELECT video_id, {D.sha(D.join('coalesce(cap, chr(0))', '|', 'idx'))} AS cap_hash, {D.sha(D.join('coalesce(sub, chr(0))', '|', 'idx'))} AS sub_hash FROM seg GROUP BY video_id",
     "x24_json_scalar": lambda D: f"SELECT event_id, CAST({'get_json_object(props, ' + chr(39) + '$.k' + chr(39) + ')' if D.spark else 'json_extract_string(props, ' + chr(39) + '$.k' + chr(39) + ')'} AS BIGINT) AS k FROM {D.t('events')}",
-    "f1_corrupted_caption": lambda D: f"WITH {caps(D)}, w AS (SELECT video_id, idx, word, count(*) AS n FROM (SELECT video_id, idx, word FROM {D.each('cap', D.words('cap'), 'word')}) a GROUP BY video_id, idx, word), "
-                                      "t AS (SELECT video_id, idx, max(n) AS top, sum(n) AS total FROM w GROUP BY video_id, idx) "
-                                      "SELECT c.video_id, c.idx, length(cjk) >= 3 AS by_count, length(cjk) > 0.2e0 * length(cap) AS by_share, coalesce(total >= 6 AND top > 0.4e0 * total, false) AS by_repeat FROM cap c LEFT JOIN t ON c.video_id = t.video_id AND c.idx = t.idx",
-    "f2_subtitle_credit": lambda D: f"WITH {seg(D)} SELECT video_id, idx, {D.rx('lower(trim(sub))', f'^{CREDIT}$')} AS credit FROM seg WHERE sub IS NOT NULL",
-    "f3_suspicious_instruction": lambda D: f"WITH {docs(D)} SELECT doc_id, {' OR '.join(D.rx('lower(text)', p) for p in INSTRUCTION)} AS suspicious FROM doc WHERE text IS NOT NULL",
     "f4_static": lambda D: f"WITH {seg(D)} SELECT video_id, idx, motion < 0.06e0 AS still_now, still FROM seg",
-    "f8_drop_truncated_tail": lambda D: f"WITH {rep(D)}, r AS (SELECT report_id, sent_id, {D.size('cites')} AS n, row_number() OVER (PARTITION BY report_id ORDER BY sent_id DESC) AS back FROM rep) SELECT report_id, sent_id FROM r WHERE NOT (back = 1 AND coalesce(n, 0) = 0)",
     "f9_degenerate_sentences": lambda D: f"WITH {rep(D)}, s AS (SELECT video_id, max(idx) + 1 AS n FROM {D.t('segments')} GROUP BY video_id) SELECT r.report_id, r.sent_id, {D.size('r.cites')} > 0.5e0 * s.n AS degenerate FROM rep r JOIN s ON r.video_id = s.video_id WHERE r.cites IS NOT NULL",
     "f10_cite_subset": lambda D: f"WITH {cites(D)} SELECT report_id, sent_id, {D.size(D.meet('c', 'cites'))} AS kept, {D.size('c')} AS parsed FROM ct WHERE cites IS NOT NULL",
     "f26_between_markers": lambda D: f"WITH {rep(D)}, m AS (SELECT report_id, sent_id, text, max(CASE WHEN {D.rx('text', '\"')} THEN 1 ELSE 0 END) OVER (PARTITION BY report_id ORDER BY sent_id ROWS UNBOUNDED PRECEDING) AS inside FROM rep WHERE text IS NOT NULL) SELECT report_id, sent_id FROM m WHERE inside = 1 AND length(text) >= 8 AND {D.rx('text', '다[.]?$')}",
     "f27_secret_scan": lambda D: "WITH " + docs(D) + ", h AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name FROM doc WHERE {D.rx('text', p)}" for n, p in SECRETS.items()) + ") SELECT name, count(*) AS documents FROM h GROUP BY name",
-    "proj_p3_postprocess_caption": lambda D: f"WITH {caps(D)}, c AS (SELECT video_id, idx, cap, trim({D.rep(D.rep('cap', f'[{CJK}]+'), '[ ][ ]+', ' ')}) AS clean FROM cap) SELECT video_id, idx, clean AS caption, CASE WHEN clean <> cap THEN cap END AS raw FROM c",
-    "proj_p4_format_segment": lambda D: f"WITH {seg(D)} SELECT video_id, idx, concat('[seg#', CAST(idx AS STRING), '] ', lpad(CAST({D.idiv('s', '60')} AS STRING), 2, '0'), ':', lpad(CAST(s % 60 AS STRING), 2, '0'), ' subtitle: \"', coalesce(sub, ''), '\" caption: \"', coalesce(cap, ''), '\"') AS line FROM seg",
     "proj_p6_brief": lambda D: f"WITH {seg(D)} SELECT video_id, idx, substring(sub, 1, 60) AS sub, substring(cap, 1, 70) AS cap FROM seg",
-    "proj_p8_sentences_of_events": lambda D: f"SELECT video_id, event_no, concat(event, ' [seg#', CAST({D.at('span', 0)} AS STRING), ']') AS text, row_number() OVER (PARTITION BY video_id ORDER BY event_no) - 1 AS sent_id FROM (SELECT DISTINCT video_id, event_no, event, span FROM {D.t('frozen_kheritage_grave_excavation')}) a WHERE event IS NOT NULL AND span IS NOT NULL",
     "proj_p12_half_of": lambda D: f"SELECT video_id, CASE WHEN (position(substring({D.sha('video_id')}, 2, 1) IN '0123456789abcdef') - 1) % 2 = 0 THEN 'A' ELSE 'B' END AS half FROM (SELECT DISTINCT video_id FROM {D.t('videos')}) v",
     "proj_p13_sanitize_id": lambda D: f"SELECT DISTINCT title, {D.rep('title', '[^a-zA-Z0-9_-]', '_')} AS safe FROM {D.t('videos')}",
     "proj_p16_global_ids": lambda D: f"WITH {seg(D)} SELECT concat(video_id, '#', CAST(idx AS STRING)) AS gid FROM seg",
     "proj_p17_publisher": lambda D: f"SELECT {'substring_index(video_id, ' + chr(39) + '_' + chr(39) + ', 1)' if D.spark else 'split_part(video_id, ' + chr(39) + '_' + chr(39) + ', 1)'} AS family, count(DISTINCT video_id) AS videos FROM {D.t('videos')} GROUP BY 1",
     "proj_p18_expected_segments": lambda D: f"SELECT DISTINCT video_id, CAST(ceil(duration_sec / 5e0) AS BIGINT) AS expected, n_segments FROM {D.t('videos')}",
-    "a14_chunk_coverage": lambda D: f"WITH {rep(D)}, c AS (SELECT DISTINCT report_id, video_id, x FROM {D.each('rep', 'cites', 'x')}), s AS (SELECT video_id, count(DISTINCT idx) AS n FROM {D.t('segments')} GROUP BY video_id) SELECT c.report_id, count(*) AS cited, round(count(*) * 1e0 / max(s.n), 6) AS coverage FROM c JOIN s ON c.video_id = s.video_id GROUP BY c.report_id",
-    "a15_distinct_ratio": lambda D: f"WITH {rep(D)} SELECT report_id, round(count(DISTINCT text) * 1e0 / nullif(count(text), 0), 6) AS ratio FROM rep GROUP BY report_id",
     "a16_groundedness": lambda D: f"WITH {cites(D)} SELECT model, count(*) AS n, round(sum(CASE WHEN {D.size('c')} > 0 THEN 1e0 ELSE 0e0 END) / nullif(count(*), 0), 6) AS grounded FROM ct GROUP BY model",
     "a22_char_error_rate": lambda D: f"WITH {seg(D)}, p AS (SELECT arm, cap, lag(cap) OVER (PARTITION BY video_id ORDER BY idx) AS ref FROM seg) SELECT arm, round(sum(levenshtein(cap, ref)) * 1e0 / nullif(sum(length(ref)), 0), 6) AS cer FROM p WHERE cap IS NOT NULL AND ref IS NOT NULL GROUP BY arm",
     "a24_chrf_bigram": lambda D: f"WITH {seg(D)}, p AS (SELECT video_id, idx, cap, lag(cap) OVER (PARTITION BY video_id ORDER BY idx) AS ref FROM seg), q AS (SELECT * FROM p WHERE length(cap) > 1 AND length(ref) > 1), "
@@ -120,6 +125,32 @@ B = {
     "n15_corrupt_texts": lambda D: f"WITH {seg(D)}, k AS (SELECT video_id, idx, cap, {D.draw('100', 'video_id', 'idx', '7')} AS h, lead(cap) OVER (PARTITION BY video_id ORDER BY {D.draw('1000003', 'video_id', 'idx', '8')}, idx) AS other FROM seg) SELECT video_id, idx, CASE WHEN h < 20 THEN coalesce(other, cap) ELSE cap END AS cap FROM k",
     "n17_query_variants": lambda D: f"SELECT DISTINCT query_id, {D.rep('text', '(라고 말하는 장면|하는 장면)$', ' 장면')} AS t1, {D.rep('text', '장면$', '부분')} AS t2 FROM {D.t('queries_dev_only')} WHERE text IS NOT NULL",
     "n18_prefix_cut": lambda D: f"WITH {seg(D)}, c AS (SELECT video_id, idx, n, substring(cap, 1, n) AS cut FROM {D.each('seg', D.map_(D.seq('1', '3'), 'x -> x * 20'), 'n')} WHERE cap IS NOT NULL) SELECT n, round(avg(length(cut)), 6) AS mean_len, count(DISTINCT cut) AS distinct_cuts FROM c GROUP BY n",
+    "x2_truncate_to_sentence": lambda D: f"WITH {caps(D)} SELECT video_id, idx, {T.to_sentence(D, 'cap')} AS cut FROM cap",
+    "x3_narration": lambda D: f"WITH {rep(D)} SELECT report_id, sent_id, {T.narration(D, 'text')} AS narration FROM rep WHERE text IS NOT NULL",
+    "x7_placeholders": lambda D: f"""WITH {seg(D)} SELECT video_id, idx, {T.clean_for_report(D, 'cap')} AS caption,
+        CASE WHEN {T.suspicious(D, 'sub')} THEN '{T.INSTRUCTION_NOTE}' ELSE coalesce(sub, '') END AS subtitle FROM seg""",
+    "x8_char_ngrams": lambda D: f"""WITH {seg(D)}, t AS (SELECT {D.rep('sub', BLANK)} AS body FROM seg WHERE sub IS NOT NULL)
+        SELECT gram, count(*) AS n FROM (""" + " UNION ALL ".join(f"SELECT gram FROM {D.each('t', grams(D, 'body', n), 'gram')}" for n in (2, 3)) + ") g GROUP BY gram",
+    "f1_corrupted_caption": lambda D: f"WITH {seg(D)} SELECT video_id, idx, {T.corrupted(D, 'cap')} AS corrupted FROM seg",
+    "f2_subtitle_credit": lambda D: f"WITH {seg(D)} SELECT video_id, idx, {T.credit(D, 'sub')} AS credit FROM seg",
+    "f3_suspicious_instruction": lambda D: f"WITH {docs(D)} SELECT doc_id, {T.suspicious(D, 'text')} AS suspicious FROM doc",
+    "f8_drop_truncated_tail": lambda D: f"""WITH {rep(D)}, r AS (SELECT report_id, text, coalesce({D.size('cites')}, 0) AS n, row_number() OVER (PARTITION BY report_id ORDER BY sent_id DESC) AS back FROM rep)
+        SELECT report_id, count(*) - sum(CASE WHEN back = 1 AND n <= 0 THEN 1 ELSE 0 END) AS kept, max(CASE WHEN back = 1 AND n <= 0 THEN text END) AS tail FROM r GROUP BY report_id""",
+    "proj_p3_postprocess_caption": lambda D: f"""WITH {caps(D)}, s AS (SELECT video_id, idx, cap, {T.strip_foreign(D, 'cap')} AS bare FROM cap), c AS (SELECT video_id, idx, cap, {T.to_sentence(D, 'bare')} AS clean FROM s)
+        SELECT video_id, idx, clean AS caption, CASE WHEN clean <> cap THEN cap END AS raw FROM c""",
+    "proj_p4_format_segment": lambda D: f"""WITH {seg(D)}, c AS (SELECT video_id, idx, s, e, {T.clean_for_report(D, 'cap')} AS cap, CASE WHEN {T.suspicious(D, 'sub')} THEN '{T.INSTRUCTION_NOTE}' ELSE coalesce(sub, '') END AS sub FROM seg)
+        SELECT video_id, idx, concat('[seg#', CAST(idx AS STRING), '] ', {clock(D, 's')}, '-', {clock(D, 'e')}, ' subtitle: "', sub, '" caption: "', cap, '"') AS line FROM c""",
+    "proj_p8_sentences_of_events": lambda D: f"""SELECT video_id, event_no, concat(event, ' [', {D.text(D.map_('seg_idx', "x -> concat('seg#', CAST(x AS STRING))"), ', ')}, ']') AS text, seg_idx AS cites,
+        row_number() OVER (PARTITION BY video_id ORDER BY event_no) - 1 AS sent_id FROM (SELECT DISTINCT video_id, event_no, event, seg_idx FROM {D.t('frozen_kheritage_grave_excavation')}) a WHERE event IS NOT NULL AND seg_idx IS NOT NULL""",
+    "a14_chunk_coverage": lambda D: f"""WITH {rep(D)}, {seg(D)}, ch AS (SELECT video_id, idx, k FROM {D.each('seg', D.seq('greatest(0, ceil((idx - 59) / 55e0))', 'floor(idx / 55e0)'), 'k')}),
+        rv AS (SELECT DISTINCT report_id, video_id FROM rep WHERE video_id IS NOT NULL), c AS (SELECT DISTINCT report_id, x FROM {D.each('rep', 'cites', 'x')}),
+        j AS (SELECT rv.report_id, ch.k, ch.idx, c.x FROM rv JOIN ch ON ch.video_id = rv.video_id LEFT JOIN c ON c.report_id = rv.report_id AND c.x = ch.idx)
+        SELECT report_id, k AS chunk, round(count(x) * 1e0 / count(*), 6) AS coverage, count(x) < 0.5e0 * count(*) AS retry FROM j GROUP BY report_id, k""",
+    "a15_distinct_ratio": lambda D: f"WITH {rep(D)} SELECT report_id, round(coalesce(count(DISTINCT {T.narration(D, 'text')}) * 1e0 / nullif(count(text), 0), 1e0), 6) AS ratio FROM rep GROUP BY report_id",
+    # Rows are hashed, then blocks of 512 rows, then a video's blocks: no text of a whole video is put together.
+    "x21_index_text_hash": lambda D: hashes(D, "concat(coalesce(sub, ''), chr(31), coalesce(cap, ''), chr(30))", "text_hash"),
+    "x22_field_hash": lambda D: hashes(D, "coalesce(cap, chr(0))", "cap_hash"),
+    "a24_chrf": chrf,
 }
 QUERIES, SQL = register(B)
 # The check engine's edit distance counts bytes, not characters; these are tested on fixtures instead.

@@ -1,4 +1,4 @@
-"""Readers with contracts: segment documents, queries, registries, event sheets, captions by arm, audio frames."""
+"""Readers with contracts: segment documents, queries, registries, event sheets, captions by arm."""
 
 from __future__ import annotations
 
@@ -22,24 +22,40 @@ def segment_violations(rows: DataFrame, require: list[str], seg_len: int = 5) ->
     rules = {"count": F.col("n_segments") != F.col("n_read"), "contiguous": F.col("idx") != F.col("pos"), "grid": F.col("start") != F.col("idx") * seg_len,
              **{f"missing {c}": F.col(c).isNull() for c in require}}
     broken = rows.select("video_id", "pos", F.explode(F.filter(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())).alias("rule"))
-    return broken.groupBy("video_id", "rule").agg(F.count("*").alias("n"), F.expr("min_by(pos, pos)").alias("first"))
+    return broken.groupBy("video_id", "rule").agg(F.count("*").alias("n"), F.expr("slice(array_sort(collect_list(pos)), 1, 3)").alias("first"))
 
 
 def queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUERY).json(path)
 
 
+SHEET_COLUMNS = 32
+
+
 def event_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """CSV bytes as UTF-8 (with or without mark), else CP949; blank lines dropped."""
+    """(path, line_no, event, start_sec, end_sec, unclear, extra) of CSV bytes in UTF-8 (with or without mark), else CP949.
+
+    Columns go by the header's names (event, start, end, unclear); others are kept in the map ``extra``; quoted commas are text;
+    blank lines are dropped. A sheet has at most ``SHEET_COLUMNS`` columns and no line ends inside quotes.
+    """
     raw = spark.read.format("binaryFile").load(path)
     utf8 = F.decode("content", "UTF-8")
     text = F.when(F.try_validate_utf8(F.col("content").cast("string")).isNotNull(), utf8).otherwise(_cp949("content"))
-    lines = F.split(F.regexp_replace(text, "^﻿", ""), r"\r?\n")
-    body = raw.select("path", F.posexplode(lines).alias("line_no", "line")).where("line_no > 0 AND trim(replace(line, ',', '')) <> ''")
-    f = F.split("line", ",", 6)
-    at = lambda i: F.trim(F.get(f, F.lit(i)))
-    return body.select("path", "line_no", at(0).alias("event"), at(1).try_cast("double").alias("start_sec"), at(2).try_cast("double").alias("end_sec"),
-                       F.coalesce(F.lower(at(3)).isin("1", "true", "y"), F.lit(False)).alias("unclear"))
+    lines = F.split(F.regexp_replace(text, "^\ufeff", ""), r"\r?\n")
+    kind = ", ".join(f"c{i} string" for i in range(SHEET_COLUMNS))
+
+    def cells(line):
+        row = F.from_csv(line, kind)
+        return F.array(*[F.trim(row[f"c{i}"]) for i in range(SHEET_COLUMNS)])
+
+    rows = raw.select("path", F.get(lines, F.lit(0)).alias("head"), F.posexplode(lines).alias("line_no", "line")) \
+        .where("line_no > 0 AND trim(replace(line, ',', '')) <> ''")
+    zipped = rows.select("path", "line_no", F.filter(F.arrays_zip(cells(F.col("head")).alias("k"), cells(F.col("line")).alias("v")), lambda c: c["k"] != "").alias("c"))
+    m = zipped.select("path", "line_no", F.map_from_entries("c").alias("m"))
+    at = lambda n: F.try_element_at("m", F.lit(n))
+    return m.select("path", "line_no", at("event").alias("event"), at("start").try_cast("double").alias("start_sec"), at("end").try_cast("double").alias("end_sec"),
+                    F.coalesce(F.lower(at("unclear")).isin("1", "true", "y"), F.lit(False)).alias("unclear"),
+                    F.map_filter("m", lambda k, v: ~k.isin("event", "start", "end", "unclear")).alias("extra"))
 
 
 def _cp949(column: str):
