@@ -88,9 +88,6 @@ B = {
                          "SELECT k, round((ssb / (k - 1) - msw) / (ssb / (k - 1) + (n0 - 1) * msw), 5) AS icc FROM b",
     "a32_strata": lambda D: f"WITH {paired(D)} SELECT CASE WHEN k0 = 1 THEN 'rank1' WHEN k0 BETWEEN 2 AND 5 THEN 'rank2_5' ELSE 'rank6' END AS stratum, count(*) AS n, round(avg(m1 - m0), 6) AS delta FROM rr GROUP BY GROUPING SETS ((CASE WHEN k0 = 1 THEN 'rank1' WHEN k0 BETWEEN 2 AND 5 THEN 'rank2_5' ELSE 'rank6' END), ())",
     "a33_macro_weighted": lambda D: f"WITH {paired(D)}, v AS (SELECT video_id, avg(m1 - m0) AS m, sum(m1 - m0) AS s, count(*) AS n FROM rr GROUP BY video_id) SELECT CASE WHEN n < 3 THEN 'few' ELSE 'many' END AS band, round(avg(m), 6) AS macro, round(sum(s) / sum(n), 6) AS weighted FROM v GROUP BY 1",
-    "a42_pick_threshold": lambda D: f"WITH {scores(D)}, m AS (SELECT query_id, greatest(max(ss), max(sp)) AS best, bool_or(good) AS rel FROM sc GROUP BY query_id), "
-                                    f"g AS (SELECT 0.40e0 + i * 0.01e0 AS tau, best, rel FROM {D.each('m', D.seq('0', '40'), 'i')}) "
-                                    "SELECT round(tau, 2) AS tau, sum(CASE WHEN rel AND best < tau THEN 1 ELSE 0 END) AS false_abstain, sum(CASE WHEN NOT rel AND best < tau THEN 1 ELSE 0 END) AS detected FROM g GROUP BY tau",
     "f5_abstention": lambda D: f"WITH {scores(D)} SELECT query_id, greatest(max(ss), max(sp)) < 0.55e0 AS abstain, max(ss) < 0.55e0 AS abstain_subtitle FROM sc GROUP BY query_id",
     "proj_p5_top_windows": lambda D: f"WITH {ranked(D)} SELECT query_id, {D.join(chr(39).join(['concat(CAST(idx * 5 AS STRING), ', '-', ', CAST(idx * 5 + 5 AS STRING))']), ' ', 'rank')} AS windows FROM rk WHERE rank <= 3 GROUP BY query_id",
     "proj_p20_ribbon": lambda D: f"WITH {ranked(D)} SELECT query_id, idx, round(power({minmax('score')}, 2.2e0), 5) AS heat FROM fu",
