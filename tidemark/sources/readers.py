@@ -29,6 +29,75 @@ def queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUERY).json(path)
 
 
+def external_queries(spark: SparkSession, path: str) -> DataFrame:
+    """Queries of the external set only; a row of any other split is an error."""
+    rows = queries(spark, path)
+    other = rows.where(F.coalesce(F.col("split") != "external", F.lit(True))).select("query_id", "split").take(3)
+    if other:
+        raise ValueError(f"not external: {[tuple(r) for r in other]}")
+    return rows
+
+
+def paired_files(spark: SparkSession, folder: str, left: str = "wav", right: str = "json") -> DataFrame:
+    """(stem, left, right): files of two kinds with one stem; what stands alone is left out."""
+    def listed(ending: str, name: str) -> DataFrame:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ending}").option("recursiveFileLookup", True).load(folder)
+        return found.select(F.regexp_replace(F.substring_index("path", "/", -1), rf"\.{ending}$", "").alias("stem"), F.col("path").alias(name))
+
+    return listed(left, "left").join(listed(right, "right"), "stem")
+
+
+def wav_samples(spark: SparkSession, path: str) -> DataFrame:
+    """(path, rate, samples): 16-bit PCM of one channel as floats in [-1, 1); other formats give null samples."""
+    import io
+    import wave
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rate, samples = [], []
+            for data in b["content"]:
+                try:
+                    with wave.open(io.BytesIO(bytes(data))) as w:
+                        ok = w.getsampwidth() == 2 and w.getnchannels() == 1
+                        rate.append(w.getframerate())
+                        samples.append((np.frombuffer(w.readframes(w.getnframes()), "<i2") / np.float32(32768)).astype(np.float32) if ok else None)
+                except (wave.Error, EOFError):
+                    rate.append(None)
+                    samples.append(None)
+            yield pd.DataFrame({"path": b["path"], "rate": pd.Series(rate, dtype="Int32"), "samples": samples})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, rate int, samples array<float>")
+
+
+def zipped_paragraphs(spark: SparkSession, path: str, part: str = r".*section\d+\.xml") -> DataFrame:
+    """(path, n, text): the paragraphs (``p`` elements, their ``t`` texts joined) of the XML parts of a zip file; blank ones dropped."""
+    import io
+    import re
+    import zipfile
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for data in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                    out.append("\n".join(z.read(n).decode("utf-8", "replace") for n in sorted(z.namelist()) if re.fullmatch(part, n)))
+            yield pd.DataFrame({"path": b["path"], "xml": out})
+
+    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, xml string")
+    paragraphs = raw.select("path", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<(?:\w+:)?p\b[^>]*>(.*?)</(?:\w+:)?p>"), F.lit(1))).alias("n", "p"))
+    text = F.regexp_replace(F.array_join(F.regexp_extract_all("p", F.lit(r"(?s)<(?:\w+:)?t\b[^>]*>(.*?)</(?:\w+:)?t>"), F.lit(1)), ""), "<[^>]+>", "")
+    for code, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(code), F.lit(plain))
+    return paragraphs.select("path", "n", F.trim(text).alias("text")).where("text <> ''")
+
+
 SHEET_COLUMNS = 32
 
 

@@ -11,6 +11,35 @@ def by_video(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("video_id").parquet(path)
 
 
+def index_table(df: DataFrame, path: str, expected: DataFrame, dim: int = 64) -> None:
+    """Writes index rows (video_id, idx, emb_sub, emb_cap) after their gates: lengths, unit norms, one row for every expected (video_id, idx)."""
+    def off(c: str):
+        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+        return F.coalesce((F.size(c) != dim) | ((norm > 0) & (F.abs(norm - 1) >= 1e-4)), F.lit(False))
+
+    bad = df.where(off("emb_sub") | off("emb_cap")).select("video_id", "idx").take(3)
+    key = ["video_id", "idx"]
+    gaps = expected.select(*key).distinct().join(df.groupBy(*key).count(), key, "full_outer").where("coalesce(count, 0) <> 1").take(3)
+    if bad or gaps:
+        raise ValueError(f"index not written: {[tuple(r) for r in bad]} {[tuple(r) for r in gaps]}")
+    df.write.mode("overwrite").parquet(path)
+
+
+def blind_kit(df: DataFrame, key: str, shown: list[str], folder: str, seed: int = 42) -> None:
+    """``sheet`` with hashed numbers in place of the key, in hash order, and ``keymap`` from number to key."""
+    kit = df.withColumn("blind", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256))
+    kit.select("blind", *shown).orderBy("blind").write.mode("errorifexists").option("header", True).csv(f"{folder}/sheet")
+    kit.select("blind", key).write.mode("errorifexists").parquet(f"{folder}/keymap")
+
+
+def with_success(df: DataFrame, path: str, failed: str = "failed") -> bool:
+    """Appends a batch of results unless every row of it failed; whether it was written."""
+    if df.where(~F.col(failed)).isEmpty():
+        return False
+    df.write.mode("append").parquet(path)
+    return True
+
+
 def append_log(df: DataFrame, path: str, drop: tuple[str, ...] = ("per_seg",)) -> None:
     df.drop(*drop).write.mode("append").json(path)
 

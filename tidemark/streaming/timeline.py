@@ -44,3 +44,15 @@ def latest_state(events: DataFrame) -> DataFrame:
 def append_to(stream: DataFrame, path: str, checkpoint: str):
     """A file sink with a checkpoint: after a restart every row is written exactly once."""
     return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def complete_segments(frames: DataFrame, size: str = "5 seconds", late: str = "0 seconds") -> DataFrame:
+    """Segments of a stream of (video_id, ts, frame), each emitted once, as soon as a later frame completes it."""
+    return frames.withWatermark("ts", late).groupBy("video_id", F.window("ts", size)).agg(F.count("*").alias("frames"), F.sort_array(F.collect_list("frame")).alias("held"))
+
+
+def progress(query) -> dict:
+    """Rows read so far, whether data waits, and the last trigger's time in milliseconds."""
+    told = query.recentProgress
+    rows = sum(p["numInputRows"] for p in told)
+    return {"rows": rows, "waiting": bool(query.status["isDataAvailable"]), "last_ms": told[-1]["durationMs"].get("triggerExecution") if told else None}
