@@ -106,3 +106,27 @@ def test_hash_ranks_are_a_permutation(spark, tmp_path):
     for r in got:
         counts[r.hand] = counts.get(r.hand, 0) + 1
     assert len(got) == 3000 and set(counts) == set(range(1, 501)) and set(counts.values()) == {6}
+
+
+def test_query_rules(spark, tmp_path):
+    texts = ["우산을 든 사람이 걷는 장면", "선생님이 안녕이라고 말하는 장면", "자막이 함께 보이는 장면", "그물을 고치는 화면"]
+    rows = [(f"q{i}", "v", t, "장면형", 0.0, 5.0, [0], "dev") for i, t in enumerate(texts)]
+    got = {(r.route, r.n) for r in run(spark, tmp_path, "v26_rule_router", queries_dev_only=rows)}
+    assert got == {("장면형", 2), ("자막형", 1), ("복합형", 1)}
+    got = {r.query_id: (r.t1, r.t2, r.t3, r.t4) for r in run(spark, tmp_path, "n17_query_variants")}
+    assert got["q0"] == ("우산을 든 사람이 걷는", "우산을 든 사람이 걷는 부분", "우산을 든 사람이 걷는 순간", "우산을 든 사람이 걷는 장면 찾아줘") and set(got["q3"]) == {texts[3]}
+
+
+def test_numbers_and_repeated_lines(spark, tmp_path):
+    rows = segments(["a"] * 3, ["예산 1,200억 원 이백 쩜 오 사람들이", "스물셋 명 둘", "HE 2Go"])
+    assert [r.numfree for r in sorted(run(spark, tmp_path, "x13_norm_numfree", segments=rows), key=lambda r: r.idx)] == ["예산 원 사람들이", "명", "he go"]
+    lines = [(1, "v", "m", 2, 0, "- 같다 [seg#2]", [2]), (1, "v", "m", 2, 1, "같다 [seg#1, seg#2]", [1, 2]), (1, "v", "m", 2, 2, "다르다", []), (1, "v", "m", 2, 3, "같다 [seg#9]", [9])]
+    got = [(r.sent_id, r.narr, r.lines, r.cites) for r in sorted(run(spark, tmp_path, "x18_merge_repeated_lines", report=lines), key=lambda r: r.sent_id)]
+    assert got == [(0, "같다", 2, [1, 2]), (2, "다르다", 1, None), (3, "같다", 1, [9])]
+
+
+def test_detector_grid_counts(spark, tmp_path):
+    rows = [("v", i, 0, 5.0, "f", False, 0.1, None, c, c, "arm", lang) for i, (c, lang) in enumerate([("가나다", "ko"), ("漢가나다라마바사아자", "zh"), ("漢字漢字漢", "zh"), ("漢字", "ko")])]
+    got = {(r.rule, r.r, r.t): (r.fired, r.tp, r.precision, r.recall) for r in run(spark, tmp_path, "a39_detector_metrics", segments=rows)}
+    assert len(got) == 60 and got["R_only", 1, 0] == (3, 2, 0.666667, 1.0) and got["R_only", 5, 0] == (1, 1, 1.0, 0.5) and got["R_and_T", 1, 5] == (2, 1, 0.5, 0.5) and got["R_or_T", 5, 3][0] == 3
+    assert all(r.holds for r in run(spark, tmp_path, "f23_c0_invariant"))

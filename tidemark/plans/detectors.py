@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from tidemark.plans import dialect as T
-from tidemark.plans.dialect import Dialect, hashed, paired, qry, ranked, register, rep, scores, seg
-from tidemark.plans.flow import KINDS, family
+from tidemark.plans.dialect import KINDS, Dialect, hashed, paired, qry, ranked, register, rep, scores, seg
+from tidemark.plans.flow import family
 from tidemark.plans.inference import ALPHAS, bounds, curves, deltas, drawn, means
 
 # Grids of the longest run and of the share of foreign letters, and the least precision of a choice.
@@ -39,7 +39,7 @@ def cells(D: Dialect) -> str:
 
 def routed(D: Dialect) -> str:
     """ro: per query its kind, the kind two patterns give it and its reciprocal rank at every alpha."""
-    return f"""{curves(D)}, ro AS (SELECT cv.*, t.query_type AS gold, CASE WHEN {D.rx('t.text', '말하는')} THEN '{KINDS[0]}' WHEN {D.rx('t.text', '장면|모습|풍경')} THEN '{KINDS[1]}' ELSE '{KINDS[2]}' END AS pred
+    return f"""{curves(D)}, ro AS (SELECT cv.*, t.query_type AS gold, {T.kind_of(D, 't.text')} AS pred
         FROM cv JOIN (SELECT query_id, max(query_type) AS query_type, max(text) AS text FROM qry GROUP BY query_id) t ON t.query_id = cv.query_id)"""
 
 
@@ -105,7 +105,7 @@ B = {
         p AS (SELECT cell, count(*) AS population FROM ft GROUP BY cell), l AS (SELECT video_id, idx, lang FROM sg WHERE lang IS NOT NULL AND lang <> '')
         SELECT m.cell, max(p.population) AS population, count(*) AS sampled, count(l.idx) AS labelled FROM m JOIN p ON p.cell = m.cell LEFT JOIN l ON l.video_id = m.video_id AND l.idx = m.idx WHERE m.r <= 50 GROUP BY m.cell""",
     "j17_score_answers": lambda D: f"""WITH {qry(D)}, g AS (SELECT query_id, max(query_type) AS gold, max(text) AS text FROM qry WHERE query_id IS NOT NULL GROUP BY query_id), k AS (SELECT query_id, {D.sha('query_id')} AS blind FROM g),
-        f AS (SELECT {D.sha('query_id')} AS blind, CASE WHEN {D.rx('text', '말하는')} THEN '{KINDS[0]}' WHEN {D.rx('text', '장면')} THEN '{KINDS[1]}' ELSE '{KINDS[2]}' END AS answer FROM g WHERE text IS NOT NULL)
+        f AS (SELECT {D.sha('query_id')} AS blind, {T.kind_of(D, 'text')} AS answer FROM g WHERE text IS NOT NULL)
         SELECT g.gold, count(*) AS n, sum(CASE WHEN f.answer IS NULL THEN 1 ELSE 0 END) AS missing, round(avg(CASE WHEN f.answer = g.gold THEN 1e0 WHEN f.answer IS NOT NULL THEN 0e0 END), 6) AS accuracy FROM g JOIN k ON k.query_id = g.query_id LEFT JOIN f ON f.blind = k.blind GROUP BY g.gold""",
     "v25_centroid_router": centroids,
     "r6_caption_order": lambda D: f"WITH {scores(D)}, r AS (SELECT query_id, idx, row_number() OVER (PARTITION BY query_id ORDER BY sp DESC, idx) AS rank FROM sc) SELECT query_id, idx, rank FROM r WHERE rank <= 10",
@@ -115,7 +115,7 @@ B = {
         SELECT max(best) / 10e0 AS best, min(i) / 10e0 AS lo, max(i) / 10e0 AS hi, count(*) AS width FROM pt WHERE near AND island = (SELECT max(y.island) FROM pt y WHERE y.i = y.best)""",
     "a53_contrast_rates": lambda D: f"""WITH {seg(D)}, c AS (SELECT arm, still, coalesce(trim(sub), '') <> '' AS spoken FROM seg WHERE still IS NOT NULL AND arm IS NOT NULL), g AS (SELECT arm, avg(CASE WHEN still THEN CASE WHEN spoken THEN 1e0 ELSE 0e0 END END) AS a, avg(CASE WHEN NOT still THEN CASE WHEN spoken THEN 1e0 ELSE 0e0 END END) AS b FROM c GROUP BY arm)
         SELECT arm, round(a, 6) AS when_still, round(b, 6) AS when_moving, CASE WHEN a IS NULL OR b IS NULL THEN 'undecided' WHEN a - b > 0.1e0 THEN 'still' WHEN b - a > 0.1e0 THEN 'moving' ELSE 'alike' END AS verdict FROM g""",
-    "a54_judge_gate": lambda D: f"""WITH {qry(D)}, q AS (SELECT query_id, max(split) AS split, max(query_type) AS gold, max(text) AS text FROM qry GROUP BY query_id), j AS (SELECT split, gold = '{KINDS[0]}' AS pos, {D.rx('text', '말하는')} AS said FROM q WHERE text IS NOT NULL AND gold IS NOT NULL)
+    "a54_judge_gate": lambda D: f"""WITH {qry(D)}, q AS (SELECT query_id, max(split) AS split, max(query_type) AS gold, max(text) AS text FROM qry GROUP BY query_id), j AS (SELECT split, gold = '{KINDS[0]}' AS pos, {T.kind_of(D, 'text')} = '{KINDS[0]}' AS said FROM q WHERE text IS NOT NULL AND gold IS NOT NULL)
         SELECT split, round(avg(CASE WHEN pos THEN CASE WHEN said THEN 1e0 ELSE 0e0 END END), 6) AS pos_right, round(avg(CASE WHEN NOT pos THEN CASE WHEN said THEN 0e0 ELSE 1e0 END END), 6) AS neg_right,
         coalesce(avg(CASE WHEN pos THEN CASE WHEN said THEN 1e0 ELSE 0e0 END END) >= 0.75e0 AND avg(CASE WHEN NOT pos THEN CASE WHEN said THEN 0e0 ELSE 1e0 END END) >= 0.75e0, false) AS passes FROM j GROUP BY split""",
     "a58_routing": lambda D: f"""WITH {routed(D)} SELECT gold, pred, count(*) AS n, round(avg(CASE WHEN pred = '{KINDS[0]}' THEN a10 WHEN pred = '{KINDS[1]}' THEN a0 ELSE a5 END), 6) AS routed_mrr,

@@ -101,6 +101,13 @@ class Dialect:
         name, _, body = f.partition(" -> ")
         return f"transform({a}, {f})" if self.spark else f"list_transform({a}, lambda {name}: {body})"
 
+    def keep(self, a: str, f: str) -> str:
+        name, _, body = f.partition(" -> ")
+        return f"filter({a}, {f})" if self.spark else f"list_filter({a}, lambda {name}: {body})"
+
+    def split(self, c: str, p: str) -> str:
+        return f"split({c}, r'{p}')" if self.spark else f"regexp_split_to_array({c}, '{p}')"
+
     def low(self, a: str) -> str:
         return f"array_min({a})" if self.spark else f"list_min({a})"
 
@@ -159,6 +166,22 @@ QUALITY_NOTE, INSTRUCTION_NOTE = "(캡션 품질 문제로 제외됨)", "(지시
 MISSING = ("unknown", "n/a", "na", "none", "null", "nil", "nan", "pending", "tbd", "todo", "missing", "undefined", "unspecified", "미상", "없음")
 
 
+# What marks speech in a query, and speech together with something seen; the kinds of queries.
+SPEECH = "라고|라는 (자막|말|제안|설명)|자막|말하|이야기|소개하|부탁하|당부|설명하|묻는|대답|외치"
+SEEN_WITH = "함께.*(보이|뜨|나오)|보이는.*자막|자막.*(함께|위에)|함께"
+KINDS = ("자막형", "장면형", "복합형")
+
+
+def kind_of(D: Dialect, c: str) -> str:
+    """Without a mark of speech a scene, with speech and something seen both, else speech."""
+    return f"CASE WHEN NOT {D.rx(c, SPEECH)} THEN '{KINDS[1]}' WHEN {D.rx(c, SEEN_WITH)} THEN '{KINDS[2]}' ELSE '{KINDS[0]}' END"
+
+
+def body(D: Dialect, c: str) -> str:
+    """A sentence without its bracketed citations."""
+    return "trim(" + D.rep(c, r"\s*\[seg#[^\]]*\]\s*") + ")"
+
+
 def credit(D: Dialect, c: str) -> str:
     whole = "|".join(f"(?:{x})" for x in CREDITS)
     return "coalesce(" + D.rx(f"trim({c})", rf"(?i)^(?:{whole})$") + ", false)"

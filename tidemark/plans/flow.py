@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from tidemark.plans import dialect as T
-from tidemark.plans.dialect import Dialect, inv, present, qry, register, rep, seg
+from tidemark.plans.dialect import KINDS, Dialect, inv, present, qry, register, rep, seg
 from tidemark.plans.texts import clock
 from tidemark.plans.timeline import overlaps, vids
 
 # Range of eligible lengths in seconds for the audit, share of a second group, target size.
 LENGTHS, SECOND_SHARE, TARGET = (60, 200), 0.3, 40
-KINDS = ("자막형", "장면형", "복합형")
 
 
 def family(D: Dialect, c: str = "video_id") -> str:

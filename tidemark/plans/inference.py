@@ -178,5 +178,8 @@ B = {
     "b24_three_arms": lambda D: f"""WITH {curves(D)}, vv AS (SELECT video_id, count(*) AS c, sum(a5 - a10) AS s1, sum(a0 - a10) AS s2 FROM cv GROUP BY video_id), {drawn(D, 'vv', 'video_id', 24)},
         m AS (SELECT b, sum(w * s1) / nullif(sum(w * c), 0) AS x, sum(w * s2) / nullif(sum(w * c), 0) AS y FROM rp GROUP BY b), o AS (SELECT sum(s1) / sum(c) AS dq, sum(s2) / sum(c) AS dd FROM vv)
         SELECT {bounds(D, 'x', 'fused_lo', 'fused_hi')}, {bounds(D, 'y', 'caption_lo', 'caption_hi')}, max(CASE WHEN dq >= 0 AND dd >= 0 THEN 'both' WHEN dq >= 0 THEN 'fused' WHEN dd >= 0 THEN 'caption' ELSE 'neither' END) AS quadrant FROM m CROSS JOIN o""",
+    "a55_slope": lambda D: f"""WITH {seg(D)}, vv AS (SELECT arm, video_id, sum(length(sub) * 1e0 * length(cap)) AS xy, sum(length(sub) * 1e0 * length(sub)) AS xx FROM seg WHERE sub IS NOT NULL AND cap IS NOT NULL AND arm IS NOT NULL GROUP BY arm, video_id),
+        {drawn(D, 'vv', 'video_id', 55)}, m AS (SELECT arm, b, sum(w * xy) / nullif(sum(w * xx), 0e0) AS x FROM rp GROUP BY arm, b), o AS (SELECT arm, sum(xy) / nullif(sum(xx), 0e0) AS slope FROM vv GROUP BY arm)
+        SELECT o.arm, round(max(o.slope), 5) AS slope, round(1.96e0 * stddev_samp(m.x), 5) AS mde FROM o JOIN m ON m.arm = o.arm GROUP BY o.arm""",
 }
 QUERIES, SQL = register(B)

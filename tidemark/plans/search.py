@@ -73,21 +73,12 @@ B = {
     "a4_iou_recall": lambda D: f"WITH {ranked(D)}, t AS (SELECT DISTINCT r.query_id, r.idx, greatest(0e0, least(q.gt_end, r.idx * 5e0 + 5e0) - greatest(q.gt_start, r.idx * 5e0)) AS inter, "
                                "greatest(q.gt_end, r.idx * 5e0 + 5e0) - least(q.gt_start, r.idx * 5e0) AS hull FROM rk r JOIN qry q ON q.query_id = r.query_id WHERE r.rank <= 5) "
                                "SELECT query_id, max(CASE WHEN hull > 0 AND inter / hull >= 0.3e0 THEN 1 ELSE 0 END) AS hit_03, max(CASE WHEN hull > 0 AND inter / hull >= 0.5e0 THEN 1 ELSE 0 END) AS hit_05 FROM t GROUP BY query_id",
-    "a6_evaluate": lambda D: f"WITH {paired(D)} SELECT coalesce(query_type, '*') AS query_type, count(*) AS n, round(avg(m0), 6) AS mrr_base, round(avg(m1), 6) AS mrr_fused, "
-                             "round(avg(CASE WHEN k1 BETWEEN 1 AND 1 THEN 1e0 ELSE 0e0 END), 6) AS hit1, round(avg(CASE WHEN k1 BETWEEN 1 AND 10 THEN 1e0 ELSE 0e0 END), 6) AS hit10 FROM rr GROUP BY GROUPING SETS ((query_type), ())",
-    "a7_median_rank": lambda D: f"WITH {paired(D)} SELECT " + D.pct("CASE WHEN k0 = 0 THEN 1e9 ELSE CAST(k0 AS DOUBLE) END", 0.5) + " AS base, " + D.pct("CASE WHEN k1 = 0 THEN 1e9 ELSE CAST(k1 AS DOUBLE) END", 0.5) + " AS fused FROM rr",
     "a8_contested": lambda D: f"WITH {paired(D)} SELECT CASE WHEN k0 = 1 AND k1 = 1 THEN 'saturated' ELSE 'contested' END AS part, count(*) AS n, round(avg(m0), 6) AS base, round(avg(m1), 6) AS fused FROM rr GROUP BY 1",
     "a27_delta_distribution": lambda D: f"WITH {paired(D)}, d AS (SELECT m1 - m0 AS d FROM rr) SELECT count(*) AS n, round(avg(d), 6) AS mean, round(" + D.pct("d", 0.5) + ", 6) AS median, round(min(d), 6) AS lo, round(max(d), 6) AS hi, "
                                         "sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS wins, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS losses, round(sum(CASE WHEN d > 0 THEN d ELSE 0e0 END), 5) AS gained FROM d",
     "a29_delta_by_type": lambda D: f"WITH {paired(D)} SELECT query_type, count(*) AS n, round(avg(m1 - m0), 6) AS delta FROM rr GROUP BY query_type",
     "a30_transfer_buckets": lambda D: f"WITH {paired(D)}, b AS (SELECT CASE WHEN k0 = 0 THEN n + 1 ELSE k0 END AS a, CASE WHEN k1 = 0 THEN n + 1 ELSE k1 END AS b, m1 - m0 AS d FROM rr) "
                                       "SELECT CASE WHEN a > 10 THEN 'low' WHEN a > 1 THEN 'mid' ELSE 'top' END AS before, CASE WHEN b < a THEN 'up' WHEN b > a THEN 'down' ELSE 'same' END AS move, count(*) AS n, round(avg(d), 6) AS delta FROM b GROUP BY 1, 2",
-    "a31_icc": lambda D: f"WITH {paired(D)}, g AS (SELECT video_id, count(*) AS n, avg(m1 - m0) AS m, var_samp(m1 - m0) * (count(*) - 1) AS ss FROM rr GROUP BY video_id HAVING count(*) > 1), "
-                         "t AS (SELECT count(*) AS k, sum(n) AS nn, sum(n * m) / sum(n) AS gm, sum(ss) AS ssw, (sum(n) - sum(n * n * 1e0) / sum(n)) / (count(*) - 1) AS n0 FROM g), "
-                         "b AS (SELECT t.k, t.nn, t.n0, t.ssw / nullif(t.nn - t.k, 0) AS msw, (SELECT sum(g.n * g.m * g.m) FROM g) - t.nn * t.gm * t.gm AS ssb FROM t) "
-                         "SELECT k, round((ssb / (k - 1) - msw) / (ssb / (k - 1) + (n0 - 1) * msw), 5) AS icc FROM b",
-    "a32_strata": lambda D: f"WITH {paired(D)} SELECT CASE WHEN k0 = 1 THEN 'rank1' WHEN k0 BETWEEN 2 AND 5 THEN 'rank2_5' ELSE 'rank6' END AS stratum, count(*) AS n, round(avg(m1 - m0), 6) AS delta FROM rr GROUP BY GROUPING SETS ((CASE WHEN k0 = 1 THEN 'rank1' WHEN k0 BETWEEN 2 AND 5 THEN 'rank2_5' ELSE 'rank6' END), ())",
-    "a33_macro_weighted": lambda D: f"WITH {paired(D)}, v AS (SELECT video_id, avg(m1 - m0) AS m, sum(m1 - m0) AS s, count(*) AS n FROM rr GROUP BY video_id) SELECT CASE WHEN n < 3 THEN 'few' ELSE 'many' END AS band, round(avg(m), 6) AS macro, round(sum(s) / sum(n), 6) AS weighted FROM v GROUP BY 1",
     "f5_abstention": lambda D: f"WITH {scores(D)} SELECT query_id, greatest(max(ss), max(sp)) < 0.55e0 AS abstain, max(ss) < 0.55e0 AS abstain_subtitle FROM sc GROUP BY query_id",
     "proj_p5_top_windows": lambda D: f"WITH {ranked(D)} SELECT query_id, {D.join(chr(39).join(['concat(CAST(idx * 5 AS STRING), ', '-', ', CAST(idx * 5 + 5 AS STRING))']), ' ', 'rank')} AS windows FROM rk WHERE rank <= 3 GROUP BY query_id",
     "proj_p20_ribbon": lambda D: f"WITH {ranked(D)} SELECT query_id, idx, round(power({minmax('score')}, 2.2e0), 5) AS heat FROM fu",
@@ -95,5 +86,18 @@ B = {
     "a56_query_independence": lambda D: f"WITH {ranked(D)}, t AS (SELECT video_id, query_type, idx, count(*) AS n FROM rk WHERE rank = 1 GROUP BY video_id, query_type, idx) SELECT video_id, query_type, count(*) AS distinct_top, round(max(n) * 1e0 / sum(n), 6) AS modal_share FROM t GROUP BY video_id, query_type",
     "a28_leave_one_out": lambda D: f"""WITH {paired(D)}, v AS (SELECT video_id, sum(m1 - m0) AS s, count(*) AS n FROM rr GROUP BY video_id), t AS (SELECT sum(s) AS st, sum(n) AS nt FROM v)
         SELECT video_id, round(s / n, 6) AS own, round((st - s) / nullif(nt - n, 0), 6) AS without, coalesce(round(st, 9) * round(st - s, 9) < 0, false) AS flips FROM v CROSS JOIN t""",
+    "a6_evaluate": lambda D: f"WITH {paired(D)} SELECT coalesce(query_type, '*') AS query_type, count(*) AS n, round(avg(m0), 4) AS mrr_base, round(avg(m1), 4) AS mrr_fused, "
+                             + ", ".join(f"round(avg(CASE WHEN k{a} BETWEEN 1 AND {k} THEN 1e0 ELSE 0e0 END), 4) AS hit{k}_{n}" for k in (1, 5, 10) for a, n in ((0, 'base'), (1, 'fused'))) + " FROM rr GROUP BY GROUPING SETS ((query_type), ())",
+    # A rank that doesn't exist is infinite; a median that is infinite comes out as null.
+    "a7_median_rank": lambda D: f"WITH {paired(D)}, m AS (SELECT " + ", ".join(D.pct(f"CASE WHEN k{a} = 0 THEN 1e12 ELSE CAST(k{a} AS DOUBLE) END", 0.5) + f" AS r{a}" for a in (0, 1)) + " FROM rr) SELECT "
+                                + ", ".join(f"CASE WHEN r{a} < 1e11 THEN r{a} END AS {n}" for a, n in ((0, 'base'), (1, 'fused'))) + " FROM m",
+    "a31_icc": lambda D: f"""WITH {paired(D)}, g AS (SELECT video_id, count(*) AS n, avg(m1 - m0) AS m, var_samp(m1 - m0) * (count(*) - 1) AS ss FROM rr GROUP BY video_id HAVING count(*) > 1),
+        t AS (SELECT count(*) AS k, sum(n) AS nn, sum(n * m) / sum(n) AS gm, sum(ss) AS ssw, (sum(n) - sum(n * n * 1e0) / sum(n)) / (count(*) - 1) AS n0 FROM g),
+        b AS (SELECT t.k, t.nn, t.n0, t.ssw / nullif(t.nn - t.k, 0) AS msw, (SELECT sum(g.n * g.m * g.m) FROM g) - t.nn * t.gm * t.gm AS ssb FROM t),
+        i AS (SELECT k, nn, (ssb / (k - 1) - msw) / (ssb / (k - 1) + (n0 - 1) * msw) AS icc FROM b) SELECT k, round(icc, 5) AS icc, round(1 + (nn * 1e0 / k - 1) * icc, 5) AS design_effect FROM i""",
+    "a32_strata": lambda D: f"""WITH {paired(D)}, s AS (SELECT CASE WHEN k0 = 0 THEN 'none' WHEN k0 = 1 THEN 'rank1' WHEN k0 <= 5 THEN 'rank2_5' ELSE 'rank6' END AS stratum, NOT (k0 = 1 AND k1 = 1) AS contested, m0, m1 FROM rr)
+        SELECT stratum, contested, count(*) AS n, round(avg(m1 - m0), 6) AS delta, round(sum(m1 - m0) / nullif(sum(1e0 - m0), 0e0), 5) AS transfer FROM s GROUP BY GROUPING SETS ((stratum), (contested), ())""",
+    "a33_macro_weighted": lambda D: f"""WITH {paired(D)}, v AS (SELECT video_id, {"substring_index(video_id, '_', 1)" if D.spark else "split_part(video_id, '_', 1)"} AS domain, CASE WHEN count(*) < 3 THEN 'few' ELSE 'many' END AS band, avg(m1 - m0) AS m, sum(m1 - m0) AS s, count(*) AS n FROM rr GROUP BY video_id)
+        SELECT domain, band, count(*) AS videos, round(avg(m), 6) AS macro, round(sum(s) / sum(n), 6) AS weighted FROM v GROUP BY GROUPING SETS ((domain), (band))""",
 }
 QUERIES, SQL = register(B)

@@ -17,7 +17,6 @@ B = {
     "a37_weighted_rate": lambda D: f"WITH {raters(D)}, c AS (SELECT arm, a, count(*) AS pop, avg(CASE WHEN {D.draw('3', 'video_id', 'idx')} = 0 THEN CASE WHEN a <> b THEN 1e0 ELSE 0e0 END END) AS rate FROM rt GROUP BY arm, a) SELECT arm, round(sum(pop * rate) / nullif(sum(CASE WHEN rate IS NOT NULL THEN pop END), 0), 6) AS rate FROM c GROUP BY arm",
     "a48_shares_by_family": lambda D: f"WITH f AS (SELECT {'substring_index(video_id, ' + chr(39) + '_' + chr(39) + ', 1)' if D.spark else 'split_part(video_id, ' + chr(39) + '_' + chr(39) + ', 1)'} AS family, count(DISTINCT video_id) AS n FROM {D.t('videos')} GROUP BY 1) SELECT family, n, round(n * 1e0 / sum(n) OVER (), 6) AS share FROM f",
     "a51_parity": lambda D: f"SELECT video_id, CASE WHEN count(DISTINCT channel_id) > 1 THEN 'mismatch' WHEN count(channel_id) = 0 THEN 'unknown' WHEN count(channel_id) < count(*) THEN 'partially_recorded' ELSE 'match' END AS parity FROM {D.t('videos')} GROUP BY video_id",
-    "a55_slope": lambda D: f"WITH {seg(D)}, p AS (SELECT arm, length(sub) * 1e0 AS x, length(cap) * 1e0 AS y FROM seg WHERE sub IS NOT NULL AND cap IS NOT NULL) SELECT arm, round(sum(x * y) / nullif(sum(x * x), 0e0), 6) AS slope, round(corr(x, y), 5) AS r FROM p GROUP BY arm",
     "n1_hamilton": lambda D: f"WITH s AS (SELECT n_name AS k, count(*) AS supply FROM {D.t('customer')} JOIN {D.t('nation')} ON c_nationkey = n_nationkey GROUP BY n_name), q AS (SELECT k, supply, 100e0 * supply / sum(supply) OVER () AS exact FROM s), "
                              "r AS (SELECT k, supply, floor(exact) AS base, row_number() OVER (ORDER BY round(exact - floor(exact), 9) DESC, k) AS pos, 100 - sum(floor(exact)) OVER () AS rest FROM q) SELECT k, CAST(least(supply, base + CASE WHEN pos <= rest THEN 1 ELSE 0 END) AS BIGINT) AS seats FROM r",
     "n3_cap": lambda D: f"SELECT n_name, CAST(floor(0.3e0 / 0.7e0 * count(*) + 1e-9) AS BIGINT) AS cap FROM {D.t('supplier')} JOIN {D.t('nation')} ON s_nationkey = n_nationkey GROUP BY n_name",
