@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import matching
+from tidemark.plans import texts
+from tidemark.plans.dialect import Dialect
 from tidemark.session import cut_lineage
 from tidemark.sources.tables import table
 
@@ -50,6 +52,13 @@ def a23_word_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("caption_arm").agg(F.round(F.avg(matching.word_errors("ref", "caption") / n), 6).alias("wer"))
 
 
+def a24_chrf(spark: SparkSession, d: str) -> DataFrame:
+    """Captions against the caption before them, white space left out."""
+    s = table(spark, d, "segments").groupBy("video_id", "idx").agg(F.regexp_replace(F.max("caption"), texts.BLANK, "").alias("cap"))
+    p = s.withColumn("ref", F.lag("cap").over(Window.partitionBy("video_id").orderBy("idx"))).where("cap <> '' AND ref <> ''")
+    return p.select("video_id", "idx", F.round(matching.chrf("ref", "cap"), 6).alias("f2"))
+
+
 def b15_grouped_auc(spark: SparkSession, d: str) -> DataFrame:
     """Logistic regression on segment features in three folds of videos, AUC by rank sums on the held-out fold."""
     from pyspark.ml.classification import LogisticRegression
@@ -81,5 +90,5 @@ def b15_grouped_auc(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("fold").agg(F.round(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0)), 6).alias("auc"))
 
 
-QUERIES = {f.__name__: f for f in (j9_match_events, a10_alignment, x11_substring_distance, a23_word_error_rate, b15_grouped_auc)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (j9_match_events, a10_alignment, x11_substring_distance, a23_word_error_rate, a24_chrf, b15_grouped_auc)}
+SQL: dict[str, str] = {"a24_chrf": texts.chrf(Dialect(False))}

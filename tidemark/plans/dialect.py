@@ -42,6 +42,11 @@ class Dialect:
     def first(self, a: str, n: int) -> str:
         return f"slice({a}, 1, {n})" if self.spark else f"{a}[1:{n}]"
 
+    def cat(self, *arrays: str) -> str:
+        if self.spark:
+            return f"concat({', '.join(arrays)})"
+        return arrays[0] if len(arrays) == 1 else f"list_concat({arrays[0]}, {self.cat(*arrays[1:])})"
+
     def arr(self, *items: str) -> str:
         return f"array({', '.join(items)})" if self.spark else f"[{', '.join(items)}]"
 

@@ -43,7 +43,7 @@ def bm25(D: Dialect) -> str:
 
     Lengths follow from the texts; only terms of the video's own queries are counted.
     """
-    terms = lambda source, keys: " UNION ALL ".join(f"SELECT {keys}, g FROM {D.each(source, grams(D, 'body', n), 'g')}" for n in (2, 3))
+    terms = lambda source, keys: f"SELECT {keys}, g FROM {D.each(source, D.cat(grams(D, 'body', 2), grams(D, 'body', 3)), 'g')}"
     return f"""WITH q0 AS (SELECT DISTINCT query_id, {D.rep('text', BLANK)} AS body, video_id FROM {D.t('queries_dev_only')} WHERE text IS NOT NULL AND video_id IS NOT NULL),
         qt AS (SELECT query_id, video_id, g, count(*) AS m FROM ({terms('q0', 'query_id, video_id')}) x GROUP BY query_id, video_id, g), vg AS (SELECT DISTINCT video_id, g FROM qt),
         d AS (SELECT video_id, idx, {D.rep("coalesce(max(subtitle), '')", BLANK)} AS body FROM {D.t('segments')} WHERE video_id IN (SELECT video_id FROM q0) GROUP BY video_id, idx),
@@ -81,12 +81,12 @@ def hashes(D: Dialect, row: str, name: str) -> str:
 
 def chrf(D: Dialect) -> str:
     """Character n-grams of 1 to 6 as multisets, mean precision and recall over the lengths both have, F2; against the caption before."""
-    side = lambda c: " UNION ALL ".join(f"SELECT video_id, idx, {n} AS n, g FROM {D.each('q', grams(D, c, n), 'g')}" for n in range(1, 7))
-    return f"""WITH {seg(D)}, p AS (SELECT video_id, idx, {D.rep('cap', BLANK)} AS cap, lag({D.rep('cap', BLANK)}) OVER (PARTITION BY video_id ORDER BY idx) AS ref FROM seg),
+    side = lambda c: D.each("q", D.cat(*[grams(D, c, n) for n in range(1, 7)]), "g")
+    return f"""WITH {seg(D)}, t AS (SELECT video_id, idx, {D.rep('cap', BLANK)} AS cap FROM seg), p AS (SELECT video_id, idx, cap, lag(cap) OVER (PARTITION BY video_id ORDER BY idx) AS ref FROM t),
         q AS (SELECT * FROM p WHERE cap <> '' AND ref <> ''),
-        u AS (SELECT video_id, idx, n, g, 1 AS a, 0 AS b FROM ({side('cap')}) x UNION ALL SELECT video_id, idx, n, g, 0, 1 FROM ({side('ref')}) y),
-        c AS (SELECT video_id, idx, n, g, sum(a) AS a, sum(b) AS b FROM u GROUP BY video_id, idx, n, g),
-        m AS (SELECT video_id, idx, n, sum(least(a, b)) AS hit, sum(a) AS na, sum(b) AS nb FROM c GROUP BY video_id, idx, n),
+        u AS (SELECT video_id, idx, g, 1 AS a, 0 AS b FROM {side('cap')} UNION ALL SELECT video_id, idx, g, 0, 1 FROM {side('ref')}),
+        c AS (SELECT video_id, idx, g, sum(a) AS a, sum(b) AS b FROM u GROUP BY video_id, idx, g),
+        m AS (SELECT video_id, idx, length(g) AS n, sum(least(a, b)) AS hit, sum(a) AS na, sum(b) AS nb FROM c GROUP BY video_id, idx, length(g)),
         f AS (SELECT video_id, idx, avg(hit * 1e0 / na) AS pr, avg(hit * 1e0 / nb) AS rc FROM m WHERE na > 0 AND nb > 0 GROUP BY video_id, idx)
         SELECT video_id, idx, round(CASE WHEN pr + rc = 0 THEN 0e0 ELSE 5e0 * pr * rc / (4e0 * pr + rc) END, 6) AS f2 FROM f"""
 
@@ -110,12 +110,6 @@ B = {
     "proj_p18_expected_segments": lambda D: f"SELECT DISTINCT video_id, CAST(ceil(duration_sec / 5e0) AS BIGINT) AS expected, n_segments FROM {D.t('videos')}",
     "a16_groundedness": lambda D: f"WITH {cites(D)} SELECT model, count(*) AS n, round(sum(CASE WHEN {D.size('c')} > 0 THEN 1e0 ELSE 0e0 END) / nullif(count(*), 0), 6) AS grounded FROM ct GROUP BY model",
     "a22_char_error_rate": lambda D: f"WITH {seg(D)}, p AS (SELECT arm, cap, lag(cap) OVER (PARTITION BY video_id ORDER BY idx) AS ref FROM seg) SELECT arm, round(sum(levenshtein(cap, ref)) * 1e0 / nullif(sum(length(ref)), 0), 6) AS cer FROM p WHERE cap IS NOT NULL AND ref IS NOT NULL GROUP BY arm",
-    "a24_chrf_bigram": lambda D: f"WITH {seg(D)}, p AS (SELECT video_id, idx, cap, lag(cap) OVER (PARTITION BY video_id ORDER BY idx) AS ref FROM seg), q AS (SELECT * FROM p WHERE length(cap) > 1 AND length(ref) > 1), "
-                                 f"a AS (SELECT video_id, idx, g, count(*) AS n FROM (SELECT video_id, idx, g FROM {D.each('q', grams(D, 'cap', 2), 'g')}) x GROUP BY video_id, idx, g), "
-                                 f"b AS (SELECT video_id, idx, g, count(*) AS n FROM (SELECT video_id, idx, g FROM {D.each('q', grams(D, 'ref', 2), 'g')}) x GROUP BY video_id, idx, g), "
-                                 "m AS (SELECT a.video_id, a.idx, sum(least(a.n, b.n)) AS hit FROM a JOIN b ON a.video_id = b.video_id AND a.idx = b.idx AND a.g = b.g GROUP BY a.video_id, a.idx), "
-                                 "f AS (SELECT q.video_id, q.idx, coalesce(hit, 0) * 1e0 / (length(cap) - 1) AS pr, coalesce(hit, 0) * 1e0 / (length(ref) - 1) AS rc FROM q LEFT JOIN m ON q.video_id = m.video_id AND q.idx = m.idx) "
-                                 "SELECT video_id, idx, round(CASE WHEN pr + rc = 0 THEN 0e0 ELSE 5e0 * pr * rc / (4e0 * pr + rc) END, 6) AS f2 FROM f",
     "a36_caption_census": lambda D: f"WITH {caps(D)} SELECT arm, count(*) AS n, sum(CASE WHEN trim(cap) = '' THEN 1 ELSE 0 END) AS blank, sum(CASE WHEN length(cjk) > 0 THEN 1 ELSE 0 END) AS cjk, round(avg(length(cap)), 6) AS mean_len FROM cap GROUP BY arm",
     "v21_bm25": bm25,
     "s10_allow_list": lambda D: f"SELECT DISTINCT video_id, idx, start_sec, end_sec, rep_frame FROM {D.t('segments')}",
@@ -147,7 +141,6 @@ B = {
     # Rows are hashed, then blocks of 512 rows, then a video's blocks: no text of a whole video is put together.
     "x21_index_text_hash": lambda D: hashes(D, "concat(coalesce(sub, ''), chr(31), coalesce(cap, ''), chr(30))", "text_hash"),
     "x22_field_hash": lambda D: hashes(D, "coalesce(cap, chr(0))", "cap_hash"),
-    "a24_chrf": chrf,
     "x13_norm_numfree": lambda D: f"""WITH {seg(D)}, t AS (SELECT video_id, idx, {D.rep(D.rep('sub', '[^가-힣0-9a-zA-Z ]', ' '), '[0-9]+', ' ')} AS body FROM seg WHERE sub IS NOT NULL)
         SELECT video_id, idx, lower({D.text(D.keep(D.words('body'), 'w -> NOT ' + D.rx('w', f'^{NUMBER}$')), ' ')}) AS numfree FROM t""",
     "x16_first_clause": lambda D: f"""WITH {seg(D)}, c AS (SELECT video_id, idx, cap, sub, {D.at(D.keep(D.map_(D.split(D.rep('trim(cap)', '(습니다|이다)', ('$1' if D.spark else chr(92) + '1') + '¦'), '[.。¦]'), 'x -> trim(x)'), 'x -> length(x) >= 15'), 0)} AS clause FROM seg WHERE cap IS NOT NULL)
