@@ -91,7 +91,8 @@ class Dialect:
         return f"array_sort(collect_list({x}))" if self.spark else f"list_sort(list({x}))"
 
     def words(self, c: str) -> str:
-        return f"filter(split({c}, '[ \\\\t\\\\r\\\\n]+'), w -> w <> '')" if self.spark else f"list_filter(regexp_split_to_array({c}, '[ \\t\\r\\n]+'), lambda w: w <> '')"
+        return f"filter(split({c}, '[ \\\\t\\\\r\\\\n]+'), w -> w <> '')" if self.spark else f"""list_filter(regexp_split_to_array({c}, '[ \\t\\r\\n]+'),
+        lambda w: w <> '')"""
 
     def uniq(self, a: str) -> str:
         return f"array_sort(array_distinct({a}))" if self.spark else f"list_sort(list_distinct({a}))"

@@ -92,7 +92,8 @@ def _queries_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _videos_of(spark: SparkSession, d: str) -> DataFrame:
-    return spark_query(lambda D: f"WITH {paired(D)} SELECT video_id, sum(m1 - m0) AS s, count(*) AS c, avg(m1 - m0) AS mean FROM rr GROUP BY video_id")(spark, d)
+    return spark_query(lambda D: f"""WITH {paired(D)} SELECT video_id, sum(m1 - m0) AS s, count(*) AS c, avg(m1 - m0) AS mean FROM rr GROUP BY
+        video_id""")(spark, d)
 
 
 def b1_paired_bootstrap_full(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +124,8 @@ def b6_sign_flip_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 def b12_ratio_bootstrap_full(spark: SparkSession, d: str) -> DataFrame:
-    units = spark_query(lambda D: f"WITH {seg(D)} SELECT video_id, sum(length(coalesce(sub, ''))) AS s, sum(length(coalesce(cap, ''))) AS c FROM seg GROUP BY video_id")(spark, d)
+    units = spark_query(lambda D: f"""WITH {seg(D)} SELECT video_id, sum(length(coalesce(sub, ''))) AS s, sum(length(coalesce(cap, ''))) AS c
+        FROM seg GROUP BY video_id""")(spark, d)
     m = bootstrap(units, "video_id", ["s", "c"], 5).select((F.col("s") / F.nullif(F.col("c"), F.lit(0.0))).alias("r"))
     lo, hi = interval("r")
     return m.agg(lo.alias("lo"), hi.alias("hi"))
