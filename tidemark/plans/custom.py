@@ -90,5 +90,65 @@ def b15_grouped_auc(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("fold").agg(F.round(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0)), 6).alias("auc"))
 
 
-QUERIES = {f.__name__: f for f in (j9_match_events, a10_alignment, x11_substring_distance, a23_word_error_rate, a24_chrf, b15_grouped_auc)}
+def _distances(spark: SparkSession, d: str) -> DataFrame:
+    """(video_id, event_no, target, tokens, sub, cap, sub_free, cap_free): an event's name against the two texts of its windows, the least of them.
+
+    The free distances leave numbers out; a target of numbers only keeps its own.
+    """
+    e = table(spark, d, INVENTORY).where("trim(event) <> '' AND seg_idx IS NOT NULL").select("video_id", "event_no", F.col("event").alias("target"), F.explode("seg_idx").alias("idx")).distinct()
+    s = table(spark, d, "segments").groupBy("video_id", "idx").agg(F.max("subtitle").alias("sub"), F.max("caption").alias("cap"))
+    bare = lambda c: F.trim(F.regexp_replace(c, "[0-9]+", ""))
+    j = e.join(s, ["video_id", "idx"]).withColumn("free", F.when(bare("target") != "", bare("target")).otherwise(F.col("target")))
+    j = j.withColumn("sub_bare", bare("sub")).withColumn("cap_bare", bare("cap"))
+    made = j.select("video_id", "event_no", "target", *[matching.approx_substring(t, h).alias(n) for t, h, n in (
+        ("target", "sub", "s"), ("target", "cap", "c"), ("free", "sub_bare", "sf"), ("free", "cap_bare", "cf"))])
+    return made.groupBy("video_id", "event_no", "target").agg(
+        *[F.round(F.min(a), 6).alias(b) for a, b in (("s", "sub"), ("c", "cap"), ("sf", "sub_free"), ("cf", "cap_free"))]) \
+        .withColumn("tokens", F.size(F.split(F.trim("target"), r"\s+")))
+
+
+def a63_distance_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return _distances(spark, d)
+
+
+def a64_pooled_block(spark: SparkSession, d: str) -> DataFrame:
+    """Mean distance and share of hits of both texts, by names of one and of more words, where both texts are there."""
+    rows = _distances(spark, d).where("sub IS NOT NULL AND cap IS NOT NULL").withColumn("many", F.col("tokens") > 1)
+    return rows.groupBy("many").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(f"{c}_mean") for c in ("sub", "cap")],
+                                    *[F.round(F.avg((F.col(c) == 0).cast("double")), 6).alias(f"{c}_hit") for c in ("sub", "cap")])
+
+
+def a25_attempted(spark: SparkSession, d: str, near: float = 0.34) -> DataFrame:
+    """Among the names that either text comes near to: hits and near hits of each, and how often only one of them has it."""
+    rows = _distances(spark, d).where(F.least(F.coalesce("sub", F.lit(1.0)), F.coalesce("cap", F.lit(1.0))) <= near)
+    hit = {c: F.coalesce(F.col(c) <= near, F.lit(False)) for c in ("sub", "cap")}
+    return rows.groupBy((F.col("tokens") > 1).alias("many")).agg(
+        F.count("*").alias("attempted"), *[F.round(F.avg(F.coalesce(F.col(c) == 0, F.lit(False)).cast("double")), 6).alias(f"{c}_hit") for c in hit],
+        *[F.round(F.avg(h.cast("double")), 6).alias(f"{c}_near") for c, h in hit.items()],
+        F.count_if(hit["sub"] & ~hit["cap"]).alias("only_sub"), F.count_if(hit["cap"] & ~hit["sub"]).alias("only_cap"))
+
+
+def a43_pooled_events(spark: SparkSession, d: str) -> DataFrame:
+    """All reference events with equal weight, whatever their video."""
+    s = _spans(spark, d)
+    refs = s.where("no % 2 = 1")
+    found = matching.match_events(refs, s.where("no % 2 = 0")).withColumnRenamed("ref", "no")
+    v = F.coalesce("iou", F.lit(0.0))
+    return refs.join(found, ["video_id", "no"], "left").agg(F.count("*").alias("events"), F.round(F.avg(v), 6).alias("alignment"),
+                                                            *[F.round(F.avg((v >= t).cast("double")), 6).alias(f"recall_{int(t * 10)}") for t in (0.3, 0.5, 0.7)])
+
+
+def proj_p7_search_response(spark: SparkSession, d: str) -> DataFrame:
+    """The three best windows of every query as they are shown: whole seconds, three decimals, cleaned texts."""
+    from tidemark.functions import text as X
+    from tidemark.plans import search
+
+    top = search.QUERIES["v6_fused_search"](spark, d).where("rank <= 3")
+    s = table(spark, d, "segments").groupBy("video_id", "idx").agg(*[F.max(c).alias(c) for c in ("start_sec", "end_sec", "subtitle", "caption")])
+    return top.join(s, ["video_id", "idx"], "left").select(
+        "query_id", "rank", "idx", F.col("start_sec").cast("int").alias("start"), F.col("end_sec").cast("int").alias("end"), F.round("score", 3).alias("score"),
+        X.display_clean(F.col("subtitle")).alias("subtitle"), X.display_clean(F.col("caption")).alias("caption"))
+
+
+QUERIES = {f.__name__: f for f in (j9_match_events, a10_alignment, x11_substring_distance, a23_word_error_rate, a24_chrf, a25_attempted, a43_pooled_events, a63_distance_matrix, a64_pooled_block, proj_p7_search_response, b15_grouped_auc)}
 SQL: dict[str, str] = {"a24_chrf": texts.chrf(Dialect(False))}
