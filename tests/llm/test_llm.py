@@ -270,6 +270,7 @@ def test_repair_round_trip_and_margin(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = mojibake.train(docs.where("doc_id % 2 = 0"))
     clean = [r.text for r in docs.where("doc_id % 2 = 1").select("text").collect() if r.text and mojibake.is_clean(r.text)]
+    assert mojibake.fit(docs)[1] == mojibake.MARGIN
     # Few true cases hide among the structurally clean texts.
     assert mojibake.validate(clean, model) < 0.02
     pure = [g[0] for g in mojibake.restore(clean, model) if not g[1]]

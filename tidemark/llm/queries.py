@@ -90,7 +90,8 @@ def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
 
 def _repaired(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    return mojibake.repaired(documents, mojibake.train(documents))
+    model, margin = mojibake.fit(documents)
+    return mojibake.repaired(documents, model, margin=margin)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
