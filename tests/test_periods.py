@@ -48,5 +48,15 @@ def test_against_brute_force_with_hot_key_and_dirt(spark):
         assert run(spark, rows, slice_rows) == expected
 
 
+def test_crowded_slices_are_cut_again(spark):
+    rng = random.Random(4)
+    rows = [("v", s, s + 0.0004 * rng.randint(3, 20), i, "x") for i in range(2000) for s in [7.0 + rng.randint(0, 20_000) / 1000]]
+    rows += [("v", 0.0, 1.0, 0, "x"), ("v", 5_000_000.0, 5_000_001.0, 0, "x")]
+    points = P._points(P.clean_intervals(spark.createDataFrame(rows, SCHEMA), "video_id", "start_sec", "end_sec", 1000))
+    sliced = P._sliced(P._sliced(points, ["e"], "b", 50), ["e", "b"], "c", 50)
+    assert points.groupBy().count().first()[0] > 1000 and max(r["count"] for r in sliced.groupBy("b", "c").count().collect()) < 200
+    assert run(spark, rows, 50) == brute(rows)
+
+
 def test_empty(spark):
     assert run(spark, [], 10) == (set(), set())

@@ -44,21 +44,25 @@ def _points(bounds: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("kind"), F.col("t").alias("at")))).alias("p")).select("e", "p.kind", "p.at")
 
 
+def _sliced(points: DataFrame, keys: list[str], name: str, slice_rows: int) -> DataFrame:
+    """The points with ``name``, their slice of equal width within the group, about ``slice_rows`` for a slice."""
+    spread = points.groupBy(*keys).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"))
+    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) * F.lit(slice_rows) / F.col("n"))).cast("bigint")
+    return points.join(spread.select(*keys, "lo", width.alias("w")), keys).select(
+        *points.columns, F.floor((F.col("at") - F.col("lo")) / F.col("w")).alias(name))
+
+
 def _ranked(points: DataFrame, slice_rows: int) -> DataFrame:
-    """points(e, kind, at) -> (e, r, s, t): the r-th start and the r-th end of every entity."""
-    spread = points.groupBy("e").agg(
-        F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n")
-    )
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) * F.lit(slice_rows) / F.col("n")))
-    spread = spread.select("e", "lo", width.cast("bigint").alias("w"))
-    sliced = points.join(spread, "e").select(
-        "e", "kind", "at", F.floor((F.col("at") - F.col("lo")) / F.col("w")).alias("b")
-    )
-    counts = sliced.groupBy("e", "kind", "b").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("e", "kind").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("e", "kind", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("off"))
-    inside = Window.partitionBy("e", "kind", "b").orderBy("at")
-    numbered = sliced.withColumn("i", F.row_number().over(inside)).join(offsets, ["e", "kind", "b"])
+    """points(e, kind, at) -> (e, r, s, t): the r-th start and the r-th end of every entity.
+
+    Slices are cut in slices again, so boundaries that crowd into a short time don't share one.
+    """
+    sliced = _sliced(_sliced(points, ["e"], "b", slice_rows), ["e", "b"], "c", slice_rows)
+    counts = sliced.groupBy("e", "kind", "b", "c").agg(F.count("*").alias("held"))
+    before = Window.partitionBy("e", "kind").orderBy("b", "c").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("e", "kind", "b", "c", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("off"))
+    inside = Window.partitionBy("e", "kind", "b", "c").orderBy("at")
+    numbered = sliced.withColumn("i", F.row_number().over(inside)).join(offsets, ["e", "kind", "b", "c"])
     return (
         numbered.groupBy("e", (F.col("i") + F.col("off")).alias("r"))
         .agg(F.max(F.when(F.col("kind") == 0, F.col("at"))).alias("s"),
