@@ -130,3 +130,19 @@ def test_detector_grid_counts(spark, tmp_path):
     got = {(r.rule, r.r, r.t): (r.fired, r.tp, r.precision, r.recall) for r in run(spark, tmp_path, "a39_detector_metrics", segments=rows)}
     assert len(got) == 60 and got["R_only", 1, 0] == (3, 2, 0.666667, 1.0) and got["R_only", 5, 0] == (1, 1, 1.0, 0.5) and got["R_and_T", 1, 5] == (2, 1, 0.5, 0.5) and got["R_or_T", 5, 3][0] == 3
     assert all(r.holds for r in run(spark, tmp_path, "f23_c0_invariant"))
+
+
+def test_motion_peak_and_anchors(spark, tmp_path):
+    import numpy as np
+
+    motion = [0.1, 0.1, 0.5, 0.5, 0.45, 0.9, 0.9, 0.1, 0.1, 0.1, 0.1, 0.1]
+    rows = [("v", i, i * 5, i * 5.0 + 5, "f", False, m, "땅을 파는 사람" if i == 3 else "바다 " * i, "c", "c", "a", "ko") for i, m in enumerate(motion)] + [("w", 0, 0, 5.0, "f", False, 0.3, None, "c", "c", "a", "ko")]
+    d = np.abs(np.diff(motion))
+    padded = np.concatenate([d[:4][::-1], d, d[-4:][::-1]])
+    weights = np.exp(-np.arange(-4, 5) ** 2 / 2)
+    smooth = [(padded[i:i + 9] * weights).sum() for i in range(len(d))]
+    got = {r.video_id: (r.rep, r.motion) for r in run(spark, tmp_path, "g1_motion_peak", segments=rows)}
+    assert got == {"v": (int(np.argmax(smooth)) + 1, round(float(d.mean()), 6)), "w": (0, 0.0)}
+    events = [("v", 1, "땅을 파는 사람", 0.0, 1.0, [0, 0], [0]), ("v", 2, "바다 바다 ", 0.0, 1.0, [0, 0], [0]), ("v", 3, "파는", 0.0, 1.0, [0, 0], [0])]
+    got = [tuple(r) for r in run(spark, tmp_path, "j12_build_anchors", frozen_kheritage_grave_excavation=events)]
+    assert got == [("v", 1, 3, 3 + 6 + 4.0)]

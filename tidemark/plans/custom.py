@@ -90,12 +90,19 @@ def b15_grouped_auc(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("fold").agg(F.round(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0)), 6).alias("auc"))
 
 
-def _distances(spark: SparkSession, d: str) -> DataFrame:
+def _distances(spark: SparkSession, d: str, decoy: bool = False) -> DataFrame:
     """(video_id, event_no, target, tokens, sub, cap, sub_free, cap_free): an event's name against the two texts of its windows, the least of them.
 
-    The free distances leave numbers out; a target of numbers only keeps its own.
+    The free distances leave numbers out; a target of numbers only keeps its own. As a decoy an event has the name of the next
+    of its video by hash, unless one name contains the other.
     """
     e = table(spark, d, INVENTORY).where("trim(event) <> '' AND seg_idx IS NOT NULL").select("video_id", "event_no", F.col("event").alias("target"), F.explode("seg_idx").alias("idx")).distinct()
+    if decoy:
+        names = e.select("video_id", "event_no", "target").distinct()
+        order = Window.partitionBy("video_id").orderBy(F.xxhash64("video_id", "event_no", "target"), "event_no")
+        other = names.withColumn("other", F.lead("target").over(order)).where(
+            F.col("other").isNotNull() & ~F.contains("other", "target") & ~F.contains("target", "other"))
+        e = e.join(other, ["video_id", "event_no", "target"]).select("video_id", "event_no", F.col("other").alias("target"), "idx")
     s = table(spark, d, "segments").groupBy("video_id", "idx").agg(F.max("subtitle").alias("sub"), F.max("caption").alias("cap"))
     bare = lambda c: F.trim(F.regexp_replace(c, "[0-9]+", ""))
     j = e.join(s, ["video_id", "idx"]).withColumn("free", F.when(bare("target") != "", bare("target")).otherwise(F.col("target")))
@@ -128,6 +135,19 @@ def a25_attempted(spark: SparkSession, d: str, near: float = 0.34) -> DataFrame:
         F.count_if(hit["sub"] & ~hit["cap"]).alias("only_sub"), F.count_if(hit["cap"] & ~hit["sub"]).alias("only_cap"))
 
 
+def a26_decoy_correction(spark: SparkSession, d: str, near: float = 0.34) -> DataFrame:
+    """Per text the share of names that come near, that of decoys in the same windows, their mean distance, and the share without chance."""
+    def rates(decoy: bool, suffix: str) -> DataFrame:
+        long = _distances(spark, d, decoy).select(F.expr("stack(2, 'subtitle', sub, 'caption', cap) AS (arm, distance)")).where("distance IS NOT NULL")
+        return long.groupBy("arm").agg(F.count("*").alias(f"n{suffix}"), F.avg((F.col("distance") <= near).cast("double")).alias(f"near{suffix}"),
+                                       F.avg((F.col("distance") == 0).cast("double")).alias(f"hit{suffix}"), F.avg("distance").alias(f"mean{suffix}"))
+
+    j = rates(False, "").join(rates(True, "_decoy"), "arm")
+    r = lambda c: F.round(c, 6)
+    return j.select("arm", "n", r("near").alias("near"), "n_decoy", r("near_decoy").alias("near_decoy"), r("hit_decoy").alias("hit_decoy"), r("mean_decoy").alias("mean_decoy"),
+                    r(F.col("near") - F.col("near_decoy")).alias("corrected"), r(F.col("hit") - F.col("hit_decoy")).alias("corrected_hit"))
+
+
 def a43_pooled_events(spark: SparkSession, d: str) -> DataFrame:
     """All reference events with equal weight, whatever their video."""
     s = _spans(spark, d)
@@ -150,5 +170,5 @@ def proj_p7_search_response(spark: SparkSession, d: str) -> DataFrame:
         X.display_clean(F.col("subtitle")).alias("subtitle"), X.display_clean(F.col("caption")).alias("caption"))
 
 
-QUERIES = {f.__name__: f for f in (j9_match_events, a10_alignment, x11_substring_distance, a23_word_error_rate, a24_chrf, a25_attempted, a43_pooled_events, a63_distance_matrix, a64_pooled_block, proj_p7_search_response, b15_grouped_auc)}
+QUERIES = {f.__name__: f for f in (j9_match_events, a10_alignment, x11_substring_distance, a23_word_error_rate, a24_chrf, a25_attempted, a26_decoy_correction, a43_pooled_events, a63_distance_matrix, a64_pooled_block, proj_p7_search_response, b15_grouped_auc)}
 SQL: dict[str, str] = {"a24_chrf": texts.chrf(Dialect(False))}

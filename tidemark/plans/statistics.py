@@ -23,9 +23,6 @@ B = {
     "a21_purity": lambda D: f"""WITH {raters(D)}, c AS (SELECT video_id, arm, count(*) AS n FROM rt GROUP BY video_id, arm), g AS (SELECT
         video_id, max(n) AS top, sum(n) AS n FROM c GROUP BY video_id HAVING sum(n) >= 2) SELECT round(sum(top) * 1e0 / sum(n), 6) AS purity
         FROM g""",
-    "a37_weighted_rate": lambda D: f"""WITH {raters(D)}, c AS (SELECT arm, a, count(*) AS pop, avg(CASE WHEN {D.draw('3', 'video_id', 'idx')}
-        = 0 THEN CASE WHEN a <> b THEN 1e0 ELSE 0e0 END END) AS rate FROM rt GROUP BY arm, a) SELECT arm, round(sum(pop * rate) /
-        nullif(sum(CASE WHEN rate IS NOT NULL THEN pop END), 0), 6) AS rate FROM c GROUP BY arm""",
     "a48_shares_by_family": lambda D: f"""WITH f AS (SELECT {'substring_index(video_id, ' + chr(39) + '_' + chr(39) + ', 1)' if D.spark else 'split_part(video_id, ' + chr(39) + '_' + chr(39) + ', 1)'}
         AS family, count(DISTINCT video_id) AS n FROM {D.t('videos')} GROUP BY 1) SELECT family, n, round(n * 1e0 / sum(n) OVER (), 6) AS
         share FROM f""",
@@ -113,5 +110,9 @@ B = {
         {D.t('segments')})
         SELECT arm, count(*) AS n, round(avg(CASE WHEN caption = caption_raw THEN 1e0 ELSE 0e0 END), 6) AS same FROM s WHERE caption IS NOT
         NULL AND caption_raw IS NOT NULL GROUP BY arm""",
+    "a37_weighted_rate": lambda D: f"""WITH {raters(D)},
+        c AS (SELECT arm, a, count(*) AS pop, avg(CASE WHEN a <> b THEN 1e0 ELSE 0e0 END) AS every,
+        avg(CASE WHEN {D.draw('3', 'video_id', 'idx')} = 0 THEN CASE WHEN a <> b THEN 1e0 ELSE 0e0 END END) AS rate FROM rt GROUP BY arm, a)
+        SELECT arm, round(sum(pop * every) / sum(pop), 6) AS census, round(sum(pop * rate) / nullif(sum(CASE WHEN rate IS NOT NULL THEN pop END), 0), 6) AS rate FROM c GROUP BY arm""",
 }
 QUERIES, SQL = register(B)

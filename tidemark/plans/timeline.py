@@ -33,6 +33,38 @@ def islands(D: Dialect) -> str:
             "isl AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, event ORDER BY a, b, event_no ROWS UNBOUNDED PRECEDING) AS part FROM m)")
 
 
+def motion_peak(D: Dialect) -> str:
+    """Per video the place behind the largest smoothed change of motion, and the mean change; 0 and 0 for fewer than two rows.
+
+    A Gaussian of sigma 1 over four places on each side; beyond the ends the series is mirrored.
+    """
+    weight = "exp(-k * k / 2e0)"
+    return f"""WITH {seg(D)}, m AS (SELECT video_id, motion, row_number() OVER (PARTITION BY video_id ORDER BY idx) - 1 AS i FROM seg WHERE motion IS NOT NULL),
+        d0 AS (SELECT video_id, i - 1 AS i, abs(motion - lag(motion) OVER (PARTITION BY video_id ORDER BY i)) AS d FROM m),
+        d AS (SELECT video_id, i, d, count(*) OVER (PARTITION BY video_id) AS n FROM d0 WHERE i >= 0),
+        k AS (SELECT video_id, i, n, k, ((i + k) % (2 * n) + 2 * n) % (2 * n) AS j FROM {D.each('d', D.seq('-4', '4'), 'k')}),
+        s AS (SELECT k.video_id, k.i, sum(o.d * {weight}) / sum({weight}) AS v FROM k JOIN d o ON o.video_id = k.video_id AND o.i = CASE WHEN k.j >= k.n THEN 2 * k.n - 1 - k.j ELSE k.j END GROUP BY k.video_id, k.i),
+        r AS (SELECT video_id, i, row_number() OVER (PARTITION BY video_id ORDER BY round(v, 8) DESC, i) AS r FROM s),
+        a AS (SELECT video_id, avg(d) AS mean FROM d GROUP BY video_id), vs AS (SELECT DISTINCT video_id FROM seg)
+        SELECT vs.video_id, CAST(coalesce(r.i + 1, 0) AS BIGINT) AS rep, round(coalesce(a.mean, 0e0), 6) AS motion FROM vs
+        LEFT JOIN a ON a.video_id = vs.video_id LEFT JOIN r ON r.video_id = vs.video_id AND r.r = 1"""
+
+
+def anchors(D: Dialect) -> str:
+    """Event names of at least six letters that stand exactly once in the spoken text of their video, with the place in that text.
+
+    The text is the subtitles one after another; the place of a segment is the length of all before it, and the middle of
+    the name is found in the segment whose range holds it.
+    """
+    sums = "sum(length(sub)) OVER (PARTITION BY video_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""WITH {inv(D)}, {seg(D)}, t AS (SELECT video_id, event, min(event_no) AS event_no FROM inv WHERE length(event) >= 6 GROUP BY video_id, event HAVING count(*) = 1),
+        u AS (SELECT video_id, idx, sub, coalesce({sums}, 0) AS start FROM seg WHERE sub <> ''),
+        h AS (SELECT t.video_id, t.event_no, t.event, u.idx, u.start, u.start + position(t.event IN u.sub) - 1 + length(t.event) / 2e0 AS mid, u.start + length(u.sub) AS stop,
+        (length(u.sub) - length(replace(u.sub, t.event, ''))) / length(t.event) AS times FROM t JOIN u ON u.video_id = t.video_id WHERE contains(u.sub, t.event)),
+        c AS (SELECT *, sum(times) OVER (PARTITION BY video_id, event_no) AS total FROM h)
+        SELECT video_id, event_no, idx, mid FROM c WHERE total = 1 AND mid >= start AND mid < stop"""
+
+
 B = {
     "proj_p1_make_segments": lambda D: f"WITH {grid(D)} SELECT video_id, idx, s, round(e, 6) AS e FROM grd",
     "proj_p2_request_grid": lambda D: f"""WITH {vids(D)} SELECT video_id, i AS second, CAST(floor(i * fps + 0.5e0) AS BIGINT) AS frame FROM
@@ -85,10 +117,6 @@ B = {
         seconds FROM w GROUP BY video_id""",
     "e1_overlapped_chunks": lambda D: f"""WITH {seg(D)}, c AS (SELECT video_id, idx, k FROM {D.each('seg', D.seq('greatest(0, ceil((idx - 59) / 55e0))', 'floor(idx / 55e0)'), 'k')})
         SELECT video_id, k AS chunk, min(idx) AS first, max(idx) AS last, count(*) AS n FROM c GROUP BY video_id, k""",
-    "g1_motion_peak": lambda D: f"""WITH {seg(D)}, d AS (SELECT video_id, idx, motion, abs(motion - lag(motion) OVER (PARTITION BY video_id
-        ORDER BY idx)) AS diff FROM seg WHERE motion IS NOT NULL), x AS (SELECT video_id, idx, diff, row_number() OVER (PARTITION BY
-        video_id ORDER BY round(diff, 8) DESC, idx) AS r, round(avg(diff) OVER (PARTITION BY video_id), 6) AS mean FROM d WHERE diff IS NOT
-        NULL) SELECT video_id, idx AS rep, mean FROM x WHERE r = 1""",
     "g3_static_fallback": lambda D: f"""WITH {seg(D)} SELECT video_id, round(avg(CASE WHEN still THEN 1e0 ELSE 0e0 END), 6) AS ratio, avg(CASE
         WHEN still THEN 1e0 ELSE 0e0 END) > 0.5e0 AS warn FROM seg GROUP BY video_id""",
     "g5_chunk_plan": lambda D: f"""WITH {vids(D)} SELECT video_id, k, k * 23e0 AS s, round(least(k * 23e0 + 25e0, dur), 6) AS e FROM
@@ -131,5 +159,7 @@ B = {
         evidence,
         row_number() OVER (PARTITION BY h.video_id ORDER BY h.a, h.event, h.b) AS place FROM h LEFT JOIN ev ON ev.video_id = h.video_id AND
         ev.event = h.event AND ev.part = h.part""",
+    "g1_motion_peak": motion_peak,
+    "j12_build_anchors": anchors,
 }
 QUERIES, SQL = register(B)
