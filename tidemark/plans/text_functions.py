@@ -1,4 +1,4 @@
-"""Queries of the text expressions whose patterns the check engine can't run."""
+"""Queries of the text expressions on columns."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.plans.dialect import Dialect, corrupted
 from tidemark.sources.tables import table
 
 
@@ -33,4 +34,9 @@ def x6_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (f13_clear_corrupted, proj_p14_display_clean, x5_parse_events, x6_verdicts)}
-SQL: dict[str, str] = {}
+# Written apart from the column expressions: what they must give back on these inputs.
+SQL: dict[str, str] = {
+    "f13_clear_corrupted": f"SELECT DISTINCT video_id, idx, CASE WHEN {corrupted(Dialect(False), 'caption')} THEN '' ELSE caption END AS caption FROM segments",
+    "x5_parse_events": "SELECT DISTINCT video_id, event_no, event, span FROM frozen_kheritage_grave_excavation",
+    "x6_verdicts": "SELECT DISTINCT report_id, sent_id, coalesce(len(cites) > 1, false) AS verdict FROM report",
+}
