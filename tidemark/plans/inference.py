@@ -111,7 +111,7 @@ BH = """pc AS (SELECT p, count(*) AS n FROM fp GROUP BY p), pr AS (SELECT p, sum
 
 
 def b5(D: Dialect) -> str:
-    p = lambda x: f"""round(greatest(1e0 / count(*), least(1e0, 2e0 * least(avg(CASE WHEN {x} <= 0 THEN 1e0 ELSE 0e0 END), avg(CASE WHEN {x}
+    p = lambda x: f"""round(greatest(1e0 / nullif(count(*), 0), least(1e0, 2e0 * least(avg(CASE WHEN {x} <= 0 THEN 1e0 ELSE 0e0 END), avg(CASE WHEN {x}
         >= 0 THEN 1e0 ELSE 0e0 END)))), 6) AS p"""
     return f"""WITH {videos_of(D)}, {drawn(D, 'dl', 'query_id', 9, 'rq')}, {drawn(D, 'vv', 'video_id', 9, 'rv')},
         mq AS (SELECT b, sum(w * d) / nullif(sum(w), 0) AS x FROM rq GROUP BY b),
