@@ -133,6 +133,12 @@ def test_label_spellings(spark):
     assert [r.a for r in df.select(language.label_language(F.col("l")).alias("a")).collect()] == ["ko", "en", "ja", "zh", None, None, None, "en", "pt"]
 
 
+def test_language_without_labels(spark):
+    rows = spark.createDataFrame([("v", 0, "가나다", None), ("v", 1, "words here", "und"), ("v", 2, None, None)], "video_id string, idx int, caption string, caption_lang string")
+    labelled = rows.select("video_id", "idx", "caption", language.label_language(F.col("caption_lang")).alias("label"))
+    assert language.stretches(labelled, language.fit(rows), ["video_id", "idx", "label"]).count() == 0
+
+
 # 5: neighbours
 
 def brute_mutual(ids, x, k, least):

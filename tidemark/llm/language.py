@@ -15,7 +15,8 @@ for each pair) and are sent to the executors with the job.
 
 Defined results: null, blank and wordless captions have no language; a clause without letters
 is left out; neighbouring clauses of one language form one stretch; repeated
-rows give the same result once; text of other scripts gets the nearest trained family.
+rows give the same result once; text of other scripts gets the nearest trained family; without
+any labelled caption to train on nothing gets a language.
 """
 
 from __future__ import annotations
@@ -223,7 +224,9 @@ class Model:
         return best, p * q
 
     def stretches(self, text: str | None) -> list[tuple[int, str, float, str]]:
-        """(number, language, confidence, text) of the stretches of a caption."""
+        """(number, language, confidence, text) of the stretches of a caption; none where no language was trained."""
+        if not self.families:
+            return []
         if text and not _OTHER.search(bare := _QUOTED.sub(" ", text)):  # one script: every clause has the same shares
             n = len(_HANGUL.findall(bare))
             return [(0, "ko", self.clause("가")[1], text)] if n else []
