@@ -114,7 +114,7 @@ def b4_cluster_bootstrap_full(spark: SparkSession, d: str) -> DataFrame:
 def b5_bootstrap_p_full(spark: SparkSession, d: str) -> DataFrame:
     m = bootstrap(_videos_of(spark, d), "video_id", ["s", "c"], 9).select((F.col("s") / F.col("c")).alias("w"))
     side = F.least(F.avg((F.col("w") <= 0).cast("int")), F.avg((F.col("w") >= 0).cast("int")))
-    return m.agg(F.round(F.greatest(1 / F.count("*"), F.least(F.lit(1.0), 2 * side)), 6).alias("p"))
+    return m.agg(F.round(F.greatest(1 / F.nullif(F.count("*"), F.lit(0)), F.least(F.lit(1.0), 2 * side)), 6).alias("p"))
 
 
 def b6_sign_flip_full(spark: SparkSession, d: str) -> DataFrame:
