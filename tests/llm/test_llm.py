@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, leakage, mojibake, neighbours, splits, tokenizer, truncation
+from tidemark.llm import queries as llm_queries
+from tidemark.operators.matching import token_distance
 
 SF = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -269,6 +271,40 @@ def test_edited_leaks_reach_target_recall(spark, kind):
     assert all(a == b and e <= 1 for a, b, e in got) and len(got) >= 0.95 * len(items)
 
 
+def test_registered_leaks_cover_edited_passages(spark, tmp_path):
+    rng = random.Random(6)
+    vocab = [f"u{i}" for i in range(60)]  # few words: phrases recur and many windows are alike
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([3, 5, 6, 8, 12])))) for i in range(30)]
+    docs = []
+    for i in range(150):
+        w = rng.choice(items)[1].split()
+        p = rng.randrange(len(w))
+        if i % 5:
+            w[p:p + (i % 5 != 1)] = [] if i % 5 == 2 else ["other"]
+        docs.append((i, " ".join(rng.choices(vocab, k=rng.randrange(9)) + w + rng.choices(vocab, k=rng.randrange(9)))))
+    docs += [(i + 1000, t) for i, t in docs[:20]] + docs[:3] + [(5000, None), (5001, "!"), (5002, "u1")]
+    want = {}
+    for d, t in docs:
+        w = leakage.words(t)
+        for i, s in items:
+            n = leakage.words(s)
+            k = min(8, len(n))
+            for a in range(len(n) - k + 1):
+                for width in range(k - k // 5, k + k // 5 + 1):
+                    for b in range(len(w) - width + 1):
+                        e = token_distance(" ".join(w[b:b + width]), " ".join(n[a:a + k]))
+                        if e <= k // 5:
+                            want[d, i] = min(e, want.get((d, i), 9))
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    exact = {k for k, e in want.items() if e == 0}
+    assert len(want) > len(exact) + 50
+    assert rows_of(llm_queries.queries()["p7_found"](spark, str(tmp_path))) == exact
+    got = {(r.doc_id, r.item_id): r.edits for r in llm_queries.queries()["p7_edited"](spark, str(tmp_path)).collect()}
+    assert got.keys() <= want.keys() and exact <= got.keys() and len(got) >= 0.95 * len(want)
+    assert all(want[k] <= e <= 1 for k, e in got.items())
+
+
 # 8: encoding
 
 @needs_data

@@ -80,8 +80,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p7_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Also passages with one word changed, put in or left out, in windows of five words and more."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=1)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    """The unedited ones of all passages."""
+    return p7_edited(spark, d).where("edits = 0").select("doc_id", "item_id")
 
 
 def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +110,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_source_shares, p2_found, p2_assigned, p2_shares, p4_found, p4_stretches, p5_found, p5_neighbours, p5_search, p6_ids, p7_found, p7_leaked_items,
+        p1_found, p1_source_shares, p2_found, p2_assigned, p2_shares, p4_found, p4_stretches, p5_found, p5_neighbours, p5_search, p6_ids, p7_found, p7_leaked_items, p7_edited,
         p8_found, p8_restored)}
 
 
