@@ -331,6 +331,25 @@ def test_repair_round_trip_and_margin(spark):
     assert [g[1] for g in none] == [[]] * 5 and [g[2] for g in none] == [False, False, False, True, False]
 
 
+def test_repair_is_fitted_on_every_text(spark, monkeypatch):
+    clean = [f"Le garçon n° {i} a déjà mangé à côté de la forêt." for i in range(3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(clean)] + [(9000, None), (9001, "")], "doc_id bigint, text string")
+    for model, margin in (mojibake.fit(df), mojibake.fit(df.repartition(5))):
+        assert margin == mojibake.MARGIN
+        # Every letter and the end of its text.
+        assert model.context.sum() == model.bi.sum() == sum(len(t) + 1 for t in clean)
+    odd = df.union(spark.createDataFrame([(i, t.encode().decode(c)) for i, t in enumerate(clean[:40], 5000) for c in ("cp1252", "latin_1")][::2] + [(7000, "lost \ufffd é"), (None, "lost \ufffd")], df.schema))
+    model, margin = mojibake.fit(odd)
+    want = {(r.doc_id, r.restored, *r.chains, r.lost) for r in mojibake.repaired(odd, model, margin=margin).collect()}
+    assert {(r.doc_id, r.restored, *r.chains, r.lost) for r in mojibake.fitted_repairs(odd).collect()} == want
+    assert {i for i, *_ in want} == {*range(5000, 5040), 7000, None}
+    monkeypatch.setattr(mojibake, "MOST_CHANGED", -1)  # the largest margin
+    model, margin = mojibake.fit(odd)
+    assert margin == mojibake.MARGINS[-1]
+    want = {(r.doc_id, r.restored, *r.chains, r.lost) for r in mojibake.repaired(odd, model, margin=margin).collect()}
+    assert {(r.doc_id, r.restored, *r.chains, r.lost) for r in mojibake.fitted_repairs(odd).collect()} == want
+
+
 def test_repair_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     model = mojibake.train(df)

@@ -10,8 +10,9 @@ A stretch of a text is tried if the model finds one of its transitions less like
 confusions do. It is then put through each candidate chain: encode by the encoding it may have
 been decoded with (``WRONG``), decode strictly by the one it may have been written in (``RIGHT``),
 up to twice. The likeliest result is accepted if its likelihood exceeds the stretch's own by
-``margin`` bits. ``fit`` holds about ``HELD_OUT`` texts of the smallest hashes out of the counts and takes the least of
-``MARGINS`` that would change no more than ``MOST_CHANGED`` of those without a structural sign (true cases hide among them).
+``margin`` bits. ``fit`` counts all texts, by ``FOLDS`` folds of their hashes, judges every text by the counts of the other
+folds and takes the least of ``MARGINS`` that would change no more than ``MOST_CHANGED`` of those without a structural sign
+(true cases hide among them). What is sent to the executors for that are the counts of each fold.
 A record is also reported, though not restorable there, where characters were lost (U+FFFD) or
 where C1 or private-use characters remain.
 
@@ -28,12 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 MARGIN = 7.0
 MARGINS = (7.0, 10.0, 14.0, 20.0)
-HELD_OUT, MOST_CHANGED = 2_000, 0.03
+FOLDS, MOST_CHANGED = 4, 0.03
 USUAL = 12.0
 UNI_BITS, BI_BITS = 17, 20
 
@@ -100,21 +103,28 @@ def _utf8_inside(text: str, codec: str) -> str:
     return "".join(out) + text[last:] if out else text
 
 
-def _multi_inside(text: str, codec: str, right: str) -> str:
-    """Every span that ``codec`` can write, decoded strictly by the multi-byte ``right``."""
+def _multi_inside(text: str, codec: str, rights: tuple[str, ...]) -> Iterator[tuple[str, str]]:
+    """(right, text) for each multi-byte ``right``: every span that ``codec`` can write, decoded strictly by it."""
     table = _MAPS[codec]
-    out, last = [], 0
+    spans = []
     for m in _SPANS[codec].finditer(text):
         raw = m.group()
         if len(_HIGH.findall(raw)) < 2:
             continue
         try:
-            new = raw.translate(table).encode("latin_1").decode(right)
+            spans.append((m.start(), m.end(), raw.translate(table).encode("latin_1")))
         except UnicodeError:
             continue
-        out += [text[last:m.start()], new]
-        last = m.end()
-    return "".join(out) + text[last:] if out else text
+    for right in rights if spans else ():
+        out, last = [], 0
+        for lo, hi, raw in spans:
+            try:
+                new = raw.decode(right)
+            except UnicodeError:
+                continue
+            out += [text[last:lo], new]
+            last = hi
+        yield right, "".join(out) + text[last:] if out else text
 
 
 def candidates(text: str) -> list[tuple[str, str]]:
@@ -136,8 +146,7 @@ def candidates(text: str) -> list[tuple[str, str]]:
                         out.setdefault(three, f"{codec}>utf_8 three times")
         if not lost:
             for codec in ("cp1252", "latin_1", "mac_roman"):
-                for right in RIGHT_MULTI:
-                    new = _multi_inside(text, codec, right)
+                for right, new in _multi_inside(text, codec, RIGHT_MULTI):
                     if new != text:
                         out.setdefault(new, f"{codec}>{right}")
             for codec, right in SINGLE_PAIRS:
@@ -208,46 +217,100 @@ class Model:
         return np.add.reduceat(p, begin - 1), np.minimum.reduceat(p, begin - 1)
 
 
+def _model(uni: np.ndarray, bi: np.ndarray) -> Model:
+    low = np.log2((uni + 0.02) / (uni.sum(dtype=np.float64) + 0.02 * len(uni)))
+    return Model(low.astype(np.float32), bi.astype(np.float32, copy=False), uni.astype(np.float32))
+
+
+def _fold(text: str, folds: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), F.col(text)), F.lit(folds)).cast("int")
+
+
+def _counts(texts: DataFrame, text: str, folds: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(unigrams, bigrams) of the clean records of each fold, and their number."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uni, bi, clean = np.zeros((folds, 1 << UNI_BITS), np.int64), np.zeros((folds, 1 << BI_BITS), np.int64), 0
+        for b in batches:
+            for f, own in b.groupby("fold")[text]:
+                kept = [t for t in own if t and is_clean(t)]
+                clean += len(kept)
+                if kept:
+                    c = _codes("\n" + "\n".join(kept) + "\n")  # the same counts whatever texts come together
+                    with np.errstate(over="ignore"):
+                        uni[f] += np.bincount(_uni(c[1:]), minlength=1 << UNI_BITS)
+                        bi[f] += np.bincount(_bi(c[:-1], c[1:]), minlength=1 << BI_BITS)
+        for kind, table in enumerate((uni, bi, np.array([[clean]]))):
+            f, k = np.nonzero(table)
+            yield pd.DataFrame({"kind": np.full(len(k), kind, np.int32), "fold": f.astype(np.int32), "cell": k.astype(np.int32), "n": table[f, k]})
+
+    got = texts.where(F.col(text).isNotNull()).select(text, _fold(text, folds).alias("fold")) \
+        .mapInPandas(count, "kind int, fold int, cell int, n bigint").groupBy("kind", "fold", "cell").agg(F.sum("n").alias("n")).toPandas()
+    tables = np.zeros((folds, 1 << UNI_BITS), np.int64), np.zeros((folds, 1 << BI_BITS), np.int64), np.zeros((1, 1), np.int64)
+    for kind, table in enumerate(tables):
+        own = got[got.kind == kind]
+        table[own.fold.to_numpy(), own.cell.to_numpy()] = own.n.to_numpy()
+    return tables[0], tables[1], int(tables[2][0, 0])
+
+
 def train(texts: DataFrame, text: str = "text") -> Model:
     """Counts of all clean records; the tables have 2^UNI_BITS and 2^BI_BITS cells whatever the corpus."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uni, bi = np.zeros(1 << UNI_BITS, np.int64), np.zeros(1 << BI_BITS, np.int64)
+    uni, bi, _ = _counts(texts, text, 1)
+    return _model(uni[0], bi[0])
+
+
+def _judged(df: DataFrame, key: str, text: str, folds: int) -> tuple[Model, float, DataFrame]:
+    """(model, margin, records and texts that the least margin reports, as it restores them): every text is tried once by the model and by the counts of the other folds."""
+    uni, bi, clean = _counts(df, text, folds)
+    whole = _model(uni.sum(axis=0), bi.sum(axis=0))
+    counts = [(uni.sum(axis=0) - u, (bi.sum(axis=0) - b).astype(np.float32)) for u, b in zip(uni, bi)]
+    kind = df.schema[key].dataType.simpleString()
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        others = [_model(u, b) for u, b in counts]
+        changed = np.zeros(len(MARGINS), np.int64)
         for b in batches:
-            kept = [t for t in b[text] if t and is_clean(t)]
+            kept = []
+            for f, own in b.groupby("fold"):
+                # A few at a time: the candidates of a text are many times its size.
+                for lo in range(0, len(own), 256):
+                    part, known = own.iloc[lo:lo + 256], {}
+                    whole_texts = part["text"].tolist()
+                    got = restore(whole_texts, whole, MARGINS[0], known)
+                    hit = [i for i, g in enumerate(got) if g[1] or g[2]]
+                    if hit:
+                        kept.append(part[["record", "text"]].iloc[hit].assign(restored=[got[i][0] for i in hit], chains=[got[i][1] for i in hit], lost=[got[i][2] for i in hit]))
+                    for t, n, g in zip(whole_texts, part["n"].tolist(), restore(whole_texts, others[f], MARGINS[0], known)):
+                        if g[1] and is_clean(t):
+                            changed += n * (g[3] > np.array(MARGINS))
             if kept:
-                c = _codes("\n".join(kept))
-                with np.errstate(over="ignore"):
-                    uni += np.bincount(_uni(c), minlength=len(uni))
-                    bi += np.bincount(_bi(c[:-1], c[1:]), minlength=len(bi))
-        for kind, table in enumerate((uni, bi)):
-            k = np.flatnonzero(table)
-            yield pd.DataFrame({"kind": np.full(len(k), kind, np.int32), "cell": k.astype(np.int32), "n": table[k]})
-
-    got = texts.select(text).mapInPandas(count, "kind int, cell int, n bigint") \
-        .groupBy("kind", "cell").agg(F.sum("n").cast("double").alias("n")).toPandas()
-    uni, bi = np.zeros(1 << UNI_BITS), np.zeros(1 << BI_BITS, np.float32)
-    for kind, table in ((0, uni), (1, bi)):
-        own = got[got.kind == kind]
-        table[own.cell.to_numpy()] = own.n.to_numpy()
-    low = np.log2((uni + 0.02) / (uni.sum() + 0.02 * len(uni)))
-    return Model(low.astype(np.float32), bi, uni.astype(np.float32))
-
-
-def fit(texts: DataFrame, text: str = "text", held_out: int = HELD_OUT) -> tuple[Model, float]:
-    """(model, margin); the margin is judged on texts that the model was not counted on."""
-    rows = texts.count()
-    bound = int(min(0.5, held_out / max(1, rows)) * (1 << 40)) + 1
-    at = F.pmod(F.xxhash64(F.lit("held"), F.col(text)), F.lit(1 << 40))
-    model = train(texts.where(at >= bound), text)
-    held = [r[0] for r in texts.where(at < bound).select(text).limit(2 * held_out).collect()]
-    for margin in MARGINS:
-        if validate(held, model, margin) <= MOST_CHANGED:
-            break
-    return model, margin
-
-
-def restore(texts: list[str | None], model: Model, margin: float = MARGIN) -> list[tuple[str | None, list[str], bool, float]]:
-    """(restored text, chains, anything lost, largest gain in bits) for each text."""
+                yield pd.concat(kept).assign(margin=np.nan, n=0)
+        yield pd.DataFrame({"record": None, "text": None, "restored": None, "chains": None, "lost": None, "margin": MARGINS, "n": changed})
+
+    # The work is larger than the text: spread it evenly, whatever the files are like; repeated rows are one.
+    rows = df.select(F.col(key).alias("record"), F.col(text).alias("text")).where("text rlike '[^\\\\x00-\\\\x7f]'") \
+        .withColumn("fold", _fold("text", folds)).groupBy("record", "text", "fold").agg(F.count("*").alias("n"))
+    tried = cut_lineage(rows.mapInPandas(judge, f"record {kind}, text string, restored string, chains array<string>, lost boolean, margin double, n bigint"))
+    changed = {r.margin: r.n for r in tried.where("text IS NULL").groupBy("margin").agg(F.sum("n").alias("n")).collect()}
+    margin = next((m for m in MARGINS if changed.get(m, 0) <= MOST_CHANGED * clean), MARGINS[-1])
+    return whole, margin, tried.where("text IS NOT NULL")
+
+
+def fit(texts: DataFrame, text: str = "text", folds: int = FOLDS) -> tuple[Model, float]:
+    """(model, margin) of all texts; for the margin each is judged by the counts of the other folds."""
+    return _judged(texts, text, text, folds)[:2]
+
+
+def fitted_repairs(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS) -> DataFrame:
+    """``repaired`` by the model and the margin of ``fit`` on the same records."""
+    model, margin, reported = _judged(df, key, text, folds)
+    if margin == MARGINS[0]:
+        return reported.select(F.col("record").alias(key), "restored", "chains", "lost")
+    return repaired(reported.select(F.col("record").alias(key), F.col("text").alias(text)), model, key, text, margin)
+
+
+def restore(texts: list[str | None], model: Model, margin: float = MARGIN, known: dict[str, list] | None = None) -> list[tuple[str | None, list[str], bool, float]]:
+    """(restored text, chains, anything lost, largest gain in bits) for each text; ``known``: candidates of stretches met before."""
+    known = {} if known is None else known
     pieces: list[tuple[int, int, int]] = []  # text, begin, end
     for i, t in enumerate(texts):
         if not t or t.isascii():
@@ -264,7 +327,9 @@ def restore(texts: list[str | None], model: Model, margin: float = MARGIN) -> li
     for k, (i, lo, hi) in enumerate(pieces):
         piece = texts[i][lo:hi]
         if least[k] < -USUAL or _MIXED.search(piece):
-            for chain, new in candidates(piece):
+            if piece not in known:
+                known[piece] = candidates(piece)
+            for chain, new in known[piece]:
                 jobs.append((k, chain, len(scored)))
                 scored.append(new)
     bits, _ = model.score(scored)

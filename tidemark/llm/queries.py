@@ -95,9 +95,7 @@ def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _repaired(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    model, margin = mojibake.fit(documents)
-    return mojibake.repaired(documents, model, margin=margin)
+    return mojibake.fitted_repairs(table(spark, d, "documents"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
